@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import simhash
+from marlstone.llm import secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_secrets": (secrets.op1_secrets, None),
     "op2_simhash": (simhash.op2_simhash, None),
+    "op7_toxicity": (toxicity.op7_toxicity, None),
 }
 
 
