@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import secrets, simhash, toxicity
+from marlstone.llm import langid, licenses, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secrets": (secrets.op1_secrets, None),
     "op2_simhash": (simhash.op2_simhash, None),
+    "op6_licenses": (licenses.op6_licenses, None),
     "op7_toxicity": (toxicity.op7_toxicity, None),
+    "op10_langid": (langid.op10_langid, None),
 }
 
 

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import fold, table, text_of
+from marlstone.llm.subword import blocks, codes, grams, word_index
 
 SIZES = (3, 4, 5)
-BUCKETS, DIM = 1 << 16, 6
+BUCKET_BITS, DIM = 16, 6
+BUCKETS = 1 << BUCKET_BITS
 #: Bounds of the labelled sample that is fitted, by label; the least hashes of doc_id are taken.
 MOST_TOXIC, MOST_CLEAN = 2400, 4800
 #: Characters of the texts that are fitted, by label; longer samples are cut at a whole text.
@@ -30,47 +32,6 @@ DROPPED = 0.4
 #: Characters scored at a time.
 BLOCK = 1 << 20
 
-_LETTER = np.zeros(1 << 16, bool)
-_LETTER[[i for i in range(1 << 16) if chr(i).isalnum()]] = True
-
-
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts with zeros for whatever is no letter or digit, and the
-    start of each text; two zeros stand between texts."""
-    low = [t.lower() for t in texts]
-    all_codes = np.frombuffer(("\0\0" + "\0\0".join(low) + "\0\0").encode("utf-32-le", "replace"), np.uint32)
-    starts = np.cumsum([2] + [len(t) + 2 for t in low[:-1]]) if low else np.zeros(0, np.int64)
-    return np.where(_LETTER[np.minimum(all_codes, 0xFFFF)] & (all_codes < 0xFFFF), all_codes, 0), starts
-
-
-def word_index(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the number of its word (of the last one before, between words), and word starts."""
-    starts = np.flatnonzero((z[1:] != 0) & (z[:-1] == 0)) + 1
-    mark = np.zeros(len(z), np.int32)
-    mark[starts] = 1
-    return np.cumsum(mark, dtype=np.int32) - 1, starts
-
-
-def grams(z: np.ndarray, owner: np.ndarray):
-    """(bucket, word) of every n-gram that lies in one word, its edges included."""
-    wide = z.astype(np.uint64)
-    letter = z != 0
-    with np.errstate(over="ignore"):
-        for n in SIZES:
-            if len(z) < n:
-                continue
-            m = len(z) - n + 1
-            inside = letter[1 : 1 + m].copy()
-            for j in range(2, n - 1):
-                inside &= letter[j : j + m]
-            at = np.flatnonzero(inside)
-            h = np.full(len(at), n, np.uint64)
-            for j in range(n):
-                h = h * np.uint64(0x100000001B3) + wide[at + j]
-            h ^= h >> np.uint64(29)
-            h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 16)
-            yield h.astype(np.int32), owner[at + 1]
-
 
 @dataclass(frozen=True)
 class ToxicityModel:
@@ -85,48 +46,25 @@ class ToxicityModel:
         """Margin of each word, and word starts."""
         owner, starts = word_index(z)
         total, n = np.zeros(len(starts)), np.zeros(len(starts))
-        for bucket, word in grams(z, owner):
+        for bucket, word in grams(z, owner, SIZES, BUCKET_BITS):
             total += np.bincount(word, self.margin[bucket], len(starts))
             n += np.bincount(word, minlength=len(starts))
         return total / np.maximum(n, 1) + self.bias, starts
 
-    def documents(self, texts: list[str]) -> np.ndarray:
+    def margins(self, texts: list[str]) -> np.ndarray:
         """The highest margin of the words of each text; -20 where there are none."""
-        z, begin = codes(texts)
-        margin, starts = self.words(z)
         out = np.full(len(texts), -20.0)
-        if len(starts):
-            np.maximum.at(out, np.searchsorted(begin, starts, "right") - 1, margin)
-        return out
-
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """The highest margin of each text's words; long lists and texts are taken in blocks."""
-        out, at = np.zeros(len(texts)), 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
-                size += len(texts[to])
-                to += 1
-            out[at:to] = [self._long(texts[at])] if to == at + 1 else self.documents(texts[at:to])
-            at = to
+        for of, parts in blocks(texts, BLOCK):
+            z, begin = codes(parts)
+            margin, starts = self.words(z)
+            if len(starts):
+                np.maximum.at(out, np.asarray(of)[np.searchsorted(begin, starts, "right") - 1], margin)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability that each text is toxic."""
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -50, 50)))
 
-    def _long(self, text: str) -> float:
-        """One text of any length, cut between words."""
-        best, at = -20.0, 0
-        while at < len(text):
-            to = min(len(text), at + BLOCK)
-            if to < len(text):
-                cut = text.rfind(" ", at, to)
-                to = cut if cut > at else to
-            best = max(best, float(self.documents([text[at:to]])[0]))
-            at = to
-        return best
-
 
 class _Softmax:
     """Bucket embeddings and the linear softmax over their averages, trained together by Adam."""
@@ -237,7 +175,7 @@ def _types(texts: list[str]):
     slot = np.full(len(starts), -1, np.int32)
     slot[one] = np.arange(len(one))
     parts = []
-    for b, w in grams(z, owner):
+    for b, w in grams(z, owner, SIZES, BUCKET_BITS):
         own = slot[w]
         parts.append((b[own >= 0], own[own >= 0]))
     bucket, word = (np.concatenate(x) for x in zip(*parts, strict=True))
