@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from marlstone.llm import langid, licenses, secrets, simhash, toxicity
+from marlstone.llm import decontam, langid, licenses, mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secrets": (secrets.op1_secrets, None),
     "op2_simhash": (simhash.op2_simhash, None),
+    "op5_mixing": (mixing.op5_mixing, mixing.ORACLE),
     "op6_licenses": (licenses.op6_licenses, None),
     "op7_toxicity": (toxicity.op7_toxicity, None),
+    "op8_decontam": (decontam.op8_decontam, None),
     "op10_langid": (langid.op10_langid, None),
 }
 
