@@ -24,9 +24,9 @@ SIZES = (3, 4, 5)
 BUCKET_BITS, DIM = 16, 6
 BUCKETS = 1 << BUCKET_BITS
 #: Bounds of the labelled sample that is fitted, by label; the least hashes of doc_id are taken.
-MOST_TOXIC, MOST_CLEAN = 2400, 4800
+MOST_TOXIC, MOST_CLEAN = 2000, 4000
 #: Characters of the texts that are fitted, by label; longer samples are cut at a whole text.
-MOST_CHARS = 8_000_000
+MOST_CHARS = 3_500_000
 #: Share of n-grams left out of a step, so that a word doesn't hang on a few of them.
 DROPPED = 0.4
 #: Characters scored at a time.
