@@ -148,12 +148,12 @@ def fit(docs: DataFrame, lang_col: str = "lang") -> LanguageModel:
             for lang, texts in batch.groupby("lang")["text"]:
                 counts[lang] = counts.get(lang, 0) + count_ngrams(list(texts))
         for lang, c in counts.items():
-            yield pd.DataFrame({"lang": [lang], "counts": [c.astype(np.float64)]})
+            yield pd.DataFrame({"lang": [lang], "counts": [c.tobytes()]})
 
-    rows = some.select(F.col(lang_col).alias("lang"), "text", "doc_id").repartition(FIT_TASKS, "doc_id").drop("doc_id").mapInPandas(count, "lang string, counts array<double>").collect()
+    rows = some.select(F.col(lang_col).alias("lang"), "text").repartition(FIT_TASKS).mapInPandas(count, "lang string, counts binary")
     total: dict[str, np.ndarray] = {}
-    for r in rows:
-        total[r.lang] = total.get(r.lang, 0) + np.array(r.counts)
+    for r in rows.toLocalIterator():
+        total[r.lang] = total.get(r.lang, 0) + np.frombuffer(bytes(r.counts))
     return LanguageModel.of_counts(total)
 
 
