@@ -66,7 +66,7 @@ def is_open(at: Column) -> Column:
             .when(F.col("recurrence") == "weekly", F.weekday(day) == F.col("weekday")).when(F.col("recurrence") == "monthly", F.dayofmonth(day) == F.col("day"))
         )
         began = (day >= F.to_date(first)) & F.coalesce(recurs, F.lit(False)) & happens & (at >= start)
-        return F.when(began, at < F.timestamp_micros(F.unix_micros(start) + F.col("duration_minutes") * F.lit(60_000_000)))
+        return F.when(began, at < F.timestamp_micros(F.unix_micros(start) + F.col("duration_minutes").cast("long") * F.lit(60_000_000)))
 
     # the latest occurrence that has begun decides
     covered = F.coalesce(covers(today), covers(F.date_sub(today, 1)), F.lit(False))

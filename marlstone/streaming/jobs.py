@@ -33,7 +33,7 @@ def ingest(stream: DataFrame, path: str, table: str, checkpoint: str, available_
             if rows.isEmpty():
                 return
             for name, part in [(table, rows), *_rollups(rows, table)]:
-                write(part, f"{path}/batch={number}", name, mode="overwrite")
+                write(part, path, name, mode="overwrite", within=f"/batch={number}")
         finally:
             rows.unpersist()
 
@@ -55,7 +55,7 @@ def read_batches(spark, path: str, table: str) -> DataFrame:
     from marlstone.sources.tables import schema
 
     declared = schema(table).add("d", "date").add("batch", "long")
-    return spark.read.schema(declared).option("basePath", path).parquet(f"{path}/batch=*/{table}").drop("batch")
+    return spark.read.schema(declared).parquet(f"{path}/{table}").drop("batch")
 
 
 def tail_stream(stream: DataFrame, tenant: str, now_column: str = "ingested_at") -> DataFrame:
@@ -127,12 +127,15 @@ def expire(spark, path: str, table: str, now: datetime) -> list[str]:
     root = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     floor = (now - pd.Timedelta(days=RETENTION[table])).date().isoformat()
-    gone = []
-    for tenant in fs.listStatus(root):
-        if tenant.isDirectory() and tenant.getPath().getName().startswith("tenant_id="):
-            for day in fs.listStatus(tenant.getPath()):
-                name = day.getPath().getName()
-                if name.startswith("d=") and name[2:] < floor:
-                    fs.delete(day.getPath(), True)
-                    gone.append(day.getPath().toString())
+    gone, todo = [], [root]
+    while todo:
+        for entry in fs.listStatus(todo.pop()):
+            at, name = entry.getPath(), entry.getPath().getName()
+            if not entry.isDirectory():
+                continue
+            if not name.startswith("d="):
+                todo.append(at)
+            elif name[2:] < floor:
+                fs.delete(at, True)
+                gone.append(at.toString())
     return gone
