@@ -166,7 +166,8 @@ def frequencies(docs: DataFrame, notices=NOTICES) -> dict[bytes, int]:
             for t in batch["text"]:
                 for w in vocabulary.intersection(t.encode("utf-8", "replace").translate(_TO).split()):
                     total[w] = total.get(w, 0) + 1
-        yield pd.DataFrame({"word": [w.decode() for w in total], "n": np.array(list(total.values()), np.int64)})
+        if total:
+            yield pd.DataFrame({"word": [w.decode() for w in total], "n": np.array(list(total.values()), np.int64)})
 
     rows = docs.select(text_of().alias("text")).mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r.word.encode(): r.n for r in rows}

@@ -155,8 +155,8 @@ LONG_WORD = 5
 LEAST_WORDS, MOST_WORDS = 3, 6
 SIGNATURE = 4  # 64-bit words of the verifying signature
 #: Of 256 bits. Texts with a Jaccard similarity of 0.8 on five-word shingles differ in 39 on average
-#: (the angle of two bags with that overlap), with a deviation of six.
-MOST_BITS = 46
+#: (the angle of two bags with that overlap), with a deviation of six; one in a hundred differs in more than this.
+MOST_BITS = 52
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
