@@ -75,7 +75,47 @@ def check_rule(q: Query, c: Condition, every_seconds: int = 60) -> None:
     if c.kind == "absence" and c.after_seconds < 1:
         raise Invalid("absence needs a time")
     compiles(q)
-    compiles(replace(evaluation_query(q, c, q.time.end), limit=MAX_SERIES))
+    compiles(evaluation_query(q, c, q.time.end), base=c.kind == "absence")
+
+
+@dataclass(frozen=True)
+class Rule:
+    rule_id: str
+    query: Query
+    condition: Condition
+
+
+def evaluate(engine, scope, rules: list[Rule], now: datetime, quiet: DataFrame | None = None) -> DataFrame:
+    """Readings of all rules as one table: (rule_id, resource_id, dedup_key, value, breaching, hold_seconds,
+    suppressed, muted), for :func:`advance`.
+
+    Each rule is one branch of a union, so a cycle is one job. Absence reads base tables, whatever its window, as
+    rollups keep no times. ``quiet`` are :func:`suppressions`.
+    """
+    from marlstone.operators.resolve import resolve
+
+    parts = []
+    for r in rules:
+        q = evaluation_query(r.query, r.condition, now)
+        got = engine.query(q, scope, base=r.condition.kind == "absence").df
+        if r.condition.kind == "absence":
+            ids = resolve(q.resources, scope, engine.catalog).ids
+            if ids is None:
+                raise Invalid("absence needs named resources: the whole tenant has no fixed set")
+            expected = ids if isinstance(ids, DataFrame) else got.sparkSession.createDataFrame([(i,) for i in ids], "resource_id string")
+            reading = read_absence(got, r.rule_id, now, expected, r.condition.after_seconds)
+        else:
+            reading = read_threshold(got, r.rule_id, [f.label for f in q.group_by[1:]])
+        parts.append(reading.select("rule_id", "resource_id", "dedup_key", "value", breached(r.condition, F.col("value")).alias("breaching"), F.lit(float(r.condition.hold)).alias("hold_seconds")))
+    if not parts:
+        raise Invalid("no rules")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if quiet is None:
+        return out.withColumns({"suppressed": F.lit(False), "muted": F.lit(False)})
+    out = out.join(quiet.select("resource_id", F.col("alerts").alias("suppressed"), F.col("notifications").alias("muted")), "resource_id", "left")
+    return out.withColumns({"suppressed": F.coalesce("suppressed", F.lit(False)), "muted": F.coalesce("muted", F.lit(False))})
 
 
 def escape(c: Column) -> Column:

@@ -223,13 +223,13 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
-def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, DataFrame], tail: bool = False) -> ResultSet:
+def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, DataFrame], tail: bool = False, base: bool = False) -> ResultSet:
     """The DataFrame that answers a query for a tenant, of the table that the planner chooses."""
     if ids.tenant_id != scope.tenant_id:
         raise TenantMismatch
     planner.check(q)
     rate = planner.uses_rate(q)
-    p, found = planner.plan(q)
+    p, found = planner.plan(q, base)
     if tail:
         planner.check_tail(q, p)
     own = Lowering(q, p, found)
@@ -247,11 +247,11 @@ def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, Data
     return ResultSet(out, p.table, tuple(dict.fromkeys(found)))
 
 
-def compiles(q: Query) -> None:
+def compiles(q: Query, base: bool = False) -> None:
     """Raise what answering the query would raise, without tables: the check on saving it."""
     planner.check(q)
     planner.uses_rate(q)
-    p, found = planner.plan(q)
+    p, found = planner.plan(q, base)
     own = Lowering(q, p, found)
     for f in [*q.group_by, *(a.field for a in q.aggregations if a.field and p.kind == "base")]:
         planner.column_of(f, p, found)
@@ -286,9 +286,9 @@ class Engine:
     tables: Mapping[str, DataFrame]
     catalog: Catalog | None = None
 
-    def query(self, q: Query | dict | str, scope: TenantScope) -> ResultSet:
+    def query(self, q: Query | dict | str, scope: TenantScope, base: bool = False) -> ResultSet:
         q = q if isinstance(q, Query) else Query.from_json(q)
-        return lower(q, scope, resolve(q.resources, scope, self.catalog), self.tables)
+        return lower(q, scope, resolve(q.resources, scope, self.catalog), self.tables, base=base)
 
     def tail(self, q: Query | dict | str, scope: TenantScope, now: datetime, since: datetime | None = None) -> TailPage:
         """One poll of a live tail; without a watermark the last minute, after a long pause the last hour."""

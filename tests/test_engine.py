@@ -162,3 +162,18 @@ def test_catalog_resolves_aliases_groups_and_tags(spark):
             ids(bad[0], **bad[1])
     with pytest.raises(ValueError, match="itself"):
         identity.add_alias(alias, "a", "x", "x")
+
+
+def test_a_cycle_of_rules_is_one_table(spark):
+    from marlstone.operators import alerts
+    from marlstone.plans.ast import Query
+
+    m = metrics(spark, [("a", "r1", "cpu", 0, 95, {}), ("a", "r2", "cpu", 0, 20, {}), ("b", "r9", "cpu", 0, 99, {})])
+    e = Engine(with_rollups({"metrics": m}))
+    q = Query.from_json({"signal": "metric", "time": DAY, "aggregations": [{"func": "max", "alias": "v", "field": {"field": "value"}}], "group_by": [{"field": "metric"}]})
+    silent = Query.from_json({"signal": "metric", "time": DAY, "resources": {"type": "ids", "ids": ["r1", "r3"]}})
+    rules = [alerts.Rule("hot", q, alerts.Condition("threshold", "gt", 90, 60)), alerts.Rule("gone", silent, alerts.Condition("absence", after_seconds=8 * 3600))]
+    quiet = spark.createDataFrame([("r3", True, False)], "resource_id string, alerts boolean, notifications boolean")
+    got = {(r.rule_id, r.resource_id): (r.breaching, r.suppressed) for r in alerts.evaluate(e, A, rules, at(60), quiet).collect()}
+    assert got == {("hot", "r1"): (True, False), ("hot", "r2"): (False, False), ("gone", "r1"): (False, False), ("gone", "r3"): (True, True)}
+    assert alerts.evaluate(e, A, rules[:1], at(60)).first().dedup_key == "hot/r1/metric=cpu"
