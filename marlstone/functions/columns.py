@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,11 +40,15 @@ def tokens(text: Column) -> Column:
 
 
 def any_token(text: Column, terms: list[str]) -> Column:
-    return F.arrays_overlap(tokens(text), F.array(*map(F.lit, terms)))
+    """Whether a term is a token. A text without it as a substring is not split into tokens."""
+    there = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    return there & F.arrays_overlap(tokens(text), F.array(*map(F.lit, terms)))
 
 
 def all_tokens(text: Column, terms: list[str]) -> Column:
-    return F.size(F.array_except(F.array(*map(F.lit, terms)), tokens(text))) == 0
+    """Whether all terms are tokens. A text without one as a substring is not split into tokens."""
+    there = reduce(lambda a, b: a & b, [F.contains(text, F.lit(t)) for t in terms])
+    return there & (F.size(F.array_except(F.array(*map(F.lit, terms)), tokens(text))) == 0)
 
 
 def contains_any_case(text: Column, needle: str) -> Column:

@@ -50,7 +50,8 @@ def ask(name: str, sql: str | None, keep: tuple[str, ...] = (), **query) -> None
     """Register a query in its JSON form; ``keep`` are the columns of raw rows that are compared."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        catalog = Catalog(ad.resources(spark, sf_dir))
+        needs = query.get("resources", {}).get("type", "all") not in ("all", "ids")
+        catalog = Catalog(ad.resources(spark, sf_dir)) if needs else None
         out = Engine(ad.tables(spark, sf_dir), catalog).query(query, SCOPE).df
         return out.select(*keep) if keep else out
 
@@ -186,7 +187,7 @@ def _tail(spark, sf_dir):
 
 
 def _answer(spark, sf_dir, q):
-    return Engine(ad.tables(spark, sf_dir), Catalog(ad.resources(spark, sf_dir))).query(q, SCOPE).df
+    return Engine(ad.tables(spark, sf_dir)).query(q, SCOPE).df
 
 
 def _logs_of_month(**more):

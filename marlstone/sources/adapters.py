@@ -5,10 +5,13 @@ Each view has a SQL twin (a common table expression) with the same columns, for
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import SEVERITIES
+from marlstone.operators.rollups import hourly, log_counts, metric_rollup
 
 TENANT = "tenant-1"
 _START = "2024-01-01 00:00:00"
@@ -111,7 +114,23 @@ EDGES = (
 )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    from marlstone.sources.tables import with_rollups
+class Views(Mapping):
+    """Telemetry tables by name, each built when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        own = {"logs": logs, "metrics": metrics, "events": events}
+        self._build = {n: (lambda f=f: f(spark, sf_dir)) for n, f in own.items()}
+        self._build |= {"logs_counts_5m": lambda: log_counts(self["logs"]), "metrics_5m": lambda: metric_rollup(self["metrics"]), "metrics_1h": lambda: hourly(self["metrics_5m"])}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._build[name]()
+
+    def __iter__(self):
+        return iter(self._build)
+
+    def __len__(self) -> int:
+        return len(self._build)
+
 
-    return with_rollups({"logs": logs(spark, sf_dir), "metrics": metrics(spark, sf_dir), "events": events(spark, sf_dir)})
+def tables(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(spark, sf_dir)
