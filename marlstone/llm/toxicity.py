@@ -31,6 +31,8 @@ MOST_CHARS = 3_500_000
 DROPPED = 0.4
 #: Characters scored at a time.
 BLOCK = 1 << 20
+#: n-grams of a training step taken at a time.
+PART = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -82,15 +84,25 @@ class _Softmax:
 
     def step(self, bucket, word, n, target, weight, rate: float = 0.1) -> None:
         """One step on n words (given as bucket and word of each n-gram), with targets of shape (n, 2)."""
-        size = np.maximum(np.bincount(word, minlength=n), 1)
-        mean = np.stack([np.bincount(word, self.emb[bucket, d], n) for d in range(DIM)], 1) / size[:, None]
+        parts = [slice(i, i + PART) for i in range(0, len(bucket), PART)]
+        size, mean = np.zeros(n), np.zeros((n, DIM))
+        for p in parts:
+            size += np.bincount(word[p], minlength=n)
+            for d in range(DIM):
+                mean[:, d] += np.bincount(word[p], self.emb[bucket[p], d], n)
+        size = np.maximum(size, 1)
+        mean /= size[:, None]
         logit = mean @ self.w + self.b
         logit -= logit.max(1, keepdims=True)
-        p = np.exp(logit)
-        p /= p.sum(1, keepdims=True)
-        g = (p - target) * (weight / weight.sum())[:, None]
+        share = np.exp(logit)
+        share /= share.sum(1, keepdims=True)
+        g = (share - target) * (weight / weight.sum())[:, None]
         back = (g @ self.w.T) / size[:, None]
-        grads = (np.stack([np.bincount(bucket, back[word, d], BUCKETS) for d in range(DIM)], 1), mean.T @ g, g.sum(0))
+        down = np.zeros_like(self.emb)
+        for p in parts:
+            for d in range(DIM):
+                down[:, d] += np.bincount(bucket[p], back[word[p], d], BUCKETS)
+        grads = (down, mean.T @ g, g.sum(0))
         self.steps += 1
         for x, dx, (m, v) in zip((self.emb, self.w, self.b), grads, self.state, strict=True):
             m += 0.1 * (dx - m)
@@ -120,7 +132,7 @@ def train(texts: list[str], toxic: np.ndarray, warm: int = 6, steps: int = 120,
     n = len(first) - 1
     if not n:
         return train([], toxic[:0])
-    word = np.repeat(np.arange(n), np.diff(first))
+    word = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     size = np.maximum(np.diff(first), 1)
     neg = np.bincount(kind_of, ~toxic[doc_of], n).astype(float)
     pos = np.bincount(kind_of, toxic[doc_of], n).astype(float)
@@ -135,7 +147,10 @@ def train(texts: list[str], toxic: np.ndarray, warm: int = 6, steps: int = 120,
     even = np.where(label > 0, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
     for _ in range(steps):
         margin, _ = model.margins()
-        top = _tops(np.bincount(word, margin[bucket], n) / size, kind_of, doc_of, begin)
+        score = np.zeros(n)
+        for i in range(0, len(bucket), PART):
+            score += np.bincount(word[i : i + PART], margin[bucket[i : i + PART]], n)
+        top = _tops(score / size, kind_of, doc_of, begin)
         length = size[top]
         at = np.repeat(first[top] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
         left = rng.random(len(at)) >= DROPPED
@@ -160,27 +175,46 @@ def _tops(score, kind_of, doc_of, begin) -> np.ndarray:
 
 def _types(texts: list[str]):
     """Distinct words of all texts: n-gram buckets by type with the first of each, and (type, document)
-    pairs by document."""
-    z, begin = codes(texts)
-    owner, starts = word_index(z)
-    ends = np.append(starts[1:], len(z))
-    with np.errstate(over="ignore"):
-        power = np.cumsum(np.where(z != 0, (z.astype(np.uint64) + np.uint64(7)) * _spread(np.arange(len(z)) - starts[np.maximum(owner, 0)]), 0))
-        name = power[ends - 1] - power[starts - 1]
-    _, one, kind = np.unique(name, return_index=True, return_inverse=True)
-    del power, name, ends
-    doc = np.searchsorted(begin, starts, "right") - 1
-    seen = np.unique(doc * np.int64(len(one) + 1) + kind)
-    doc_of, kind_of = seen // (len(one) + 1), seen % (len(one) + 1)
-    slot = np.full(len(starts), -1, np.int32)
-    slot[one] = np.arange(len(one))
-    parts = []
-    for b, w in grams(z, owner, SIZES, BUCKET_BITS):
-        own = slot[w]
-        parts.append((b[own >= 0], own[own >= 0]))
-    bucket, word = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(word, kind="stable")
-    return bucket[order], np.searchsorted(word[order], np.arange(len(one) + 1)), kind_of, doc_of
+    pairs by document. Texts are taken in blocks, so only distinct words and pairs grow with them."""
+    names, buckets, sizes, pair_names, pair_docs = [], [], [], [], []
+    seen = np.zeros(0, np.uint64)
+    for of, parts in blocks(texts, BLOCK):
+        z, begin = codes(parts)
+        owner, starts = word_index(z)
+        if not len(starts):
+            continue
+        ends = np.append(starts[1:], len(z))
+        with np.errstate(over="ignore"):
+            power = np.cumsum(np.where(z != 0, (z.astype(np.uint64) + np.uint64(7)) * _spread(np.arange(len(z)) - starts[np.maximum(owner, 0)]), 0))
+            name = power[ends - 1] - power[starts - 1]
+        del power, ends
+        doc = np.asarray(of)[np.searchsorted(begin, starts, "right") - 1]
+        own, one = np.unique(name, return_index=True)
+        order = np.lexsort((name, doc))
+        first = np.ones(len(order), bool)
+        first[1:] = (name[order][1:] != name[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        pair_names.append(name[order][first])
+        pair_docs.append(doc[order][first])
+        new = ~np.isin(own, seen, assume_unique=True)
+        own, one = own[new], one[new]
+        seen = np.union1d(seen, own)
+        slot = np.full(len(starts), -1, np.int32)
+        slot[one] = np.arange(len(one))
+        got = [(b[slot[w] >= 0], slot[w][slot[w] >= 0]) for b, w in grams(z, owner, SIZES, BUCKET_BITS)]
+        bucket, word = (np.concatenate(x) for x in zip(*got, strict=True))
+        names.append(own)
+        buckets.append(bucket[np.argsort(word, kind="stable")])
+        sizes.append(np.bincount(word, minlength=len(one)))
+    if not names:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name, pairs, docs = np.concatenate(names), np.concatenate(pair_names), np.concatenate(pair_docs)
+    by_name = np.argsort(name)
+    kind = by_name[np.searchsorted(name[by_name], pairs)]
+    # a text that is cut into blocks can have a word twice
+    order = np.lexsort((kind, docs))
+    kind, docs = kind[order], docs[order]
+    once = np.append(True, (kind[1:] != kind[:-1]) | (docs[1:] != docs[:-1]))
+    return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), kind[once], docs[once]
 
 
 def _spread(i: np.ndarray) -> np.ndarray:
