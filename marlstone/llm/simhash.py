@@ -153,10 +153,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANDS = 4
 LONG_WORD = 5
 LEAST_WORDS, MOST_WORDS = 3, 6
-SIGNATURE = 4  # 64-bit words of the verifying signature
-#: Of 256 bits. Texts with a Jaccard similarity of 0.8 on five-word shingles differ in 39 on average
-#: (the angle of two bags with that overlap), with a deviation of six; one in a hundred differs in more than this.
-MOST_BITS = 52
+SIGNATURE = 4  # 64-bit words of the signature that filters candidates
+#: Texts are near-duplicates from this Jaccard similarity of their sets of shingles (as a fraction, for exact sums).
+NEAR_NUM, NEAR_DEN = 4, 5
+#: Of 256 bits. Sets with a Jaccard similarity of 0.8 differ in 39 on average (the angle of two sets with that
+#: overlap), with a deviation of six, so this loose filter is seven deviations off; sets of under FEW shingles skip it.
+LOOSE_BITS, FEW = 82, 64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -167,16 +169,16 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def signature(text: str | None, k: int = 5) -> tuple[list[int | None], list[int]]:
-    """Band fingerprints and the verifying signature of a text.
+def signature(text: str | None, k: int = 5) -> tuple[list[int | None], list[int], int]:
+    """Band fingerprints and the signature of a text, and how many distinct shingles it has.
 
     Each distinct long word falls in one of four bands, whose fingerprint is taken over its six words of
     least hash: with one word in 45 edited, which is where five-word shingles still have a similarity of
     0.8, a band stays as it is three times in four, and all four change once in 300.  The fifth band and the
-    signature are taken over all k-word shingles.  A band of too few words has none (null).
+    signature are taken over all distinct k-word shingles.  A band of too few words has none (null).
     """
     tokens = words(text or "")
-    h = hashed(shingles(tokens, k))
+    h = shingle_set(text, k).view(np.uint64)
     long_words = np.sort(hashed(list({w for w in tokens if len(w) >= LONG_WORD})))
     band = long_words % np.uint64(BANDS)
     bands: list[int | None] = []
@@ -184,24 +186,59 @@ def signature(text: str | None, k: int = 5) -> tuple[list[int | None], list[int]
         own = long_words[band == r][:MOST_WORDS]
         bands.append(majority(_mixed(own, 0)) if len(own) >= LEAST_WORDS else None)
     sig = [majority(_mixed(h, i)) for i in range(SIGNATURE)]
-    return [*bands, sig[0]], sig
+    return [*bands, sig[0]], sig, len(h)
 
 
 def signature_udf(k: int = 5):
-    @F.pandas_udf("bands array<bigint>, sig array<bigint>")
+    @F.pandas_udf("bands array<bigint>, sig array<bigint>, size int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        both = [signature(t, k) for t in texts]
-        return pd.DataFrame({"bands": [b for b, _ in both], "sig": [s for _, s in both]})
+        all_of = [signature(t, k) for t in texts]
+        return pd.DataFrame({"bands": [b for b, _, _ in all_of], "sig": [s for _, s, _ in all_of], "size": [n for _, _, n in all_of]})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, most_bits: int = MOST_BITS) -> DataFrame:
+def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, signed, in ascending order."""
+    return np.unique(hashed(shingles(words(text or ""), k)).view(np.int64))
+
+
+def sets_udf(k: int = 5):
+    @F.pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, k) for t in texts], dtype=object)
+
+    return run
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
+    """(id, hashes) of the documents whose ids are in ``ids`` (column id)."""
+    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
+    return some.select("id", sets_udf(k)("text").alias("hashes"))
+
+
+def verified_pairs(staged: Staged, docs: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows (a, b) of written ``pairs`` (x, y) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    sets = staged.keep(sets_of(docs, ids, k), "sets")
+    both = (
+        pairs.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("hx")), "x")
+        .join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("hy")), "y")
+        .withColumn("common", F.size(F.array_intersect("hx", "hy")).cast("long"))
+    )
+    total = F.size("hx") + F.size("hy")  # common / (total - common) >= NEAR
+    near = both.where((NEAR_DEN + NEAR_NUM) * F.col("common") >= NEAR_NUM * total)
+    out = staged.keep(near.where("common > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), "near")
+    staged.drop(sets)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """(id, group): every document that has a near-duplicate, with the least doc_id of its group.
 
     Equal texts (letter case and white space aside) are grouped first.  Of the rest, candidates share a
-    band fingerprint within two bits; each is verified by the signatures' distance, and verified links
-    are closed over.  Rows with a null doc_id take no part.
+    band fingerprint within two bits; each that sizes and signatures allow is verified by the exact Jaccard
+    similarity of the shingle sets, and verified links are closed over.  Rows with a null doc_id take no part.
     """
     staged = Staged(docs.sparkSession, "neardup")
     whole = F.lower(F.regexp_replace(F.trim(text_of()), "[\\x20\\x09-\\x0D]+", " "))
@@ -213,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, most_bits: int = MOST_BITS) ->
     )
     # the signature is the same for all copies, so any one serves
     reps = staged.keep(
-        sigs.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "reps"
+        sigs.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "reps"
     )
     banded = staged.keep(
         reps.select("id", F.posexplode("bands").alias("band", "fp")).where("fp IS NOT NULL"), "banded"
@@ -235,13 +272,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, most_bits: int = MOST_BITS) ->
         across.unionByName(within).unionByName(beside).where("x <> y AND y IS NOT NULL")
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     )
-    sig = reps.select("id", "sig")
+    few = F.least("nx", "ny") < FEW
     distance = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(SIGNATURE)), F.lit(0))
-    verified = (
-        candidates.join(sig.select(F.col("id").alias("x"), F.col("sig").alias("sx")), "x")
-        .join(sig.select(F.col("id").alias("y"), F.col("sig").alias("sy")), "y")
-        .where(distance <= most_bits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    likely = (
+        candidates.join(reps.select(F.col("id").alias("x"), F.col("sig").alias("sx"), F.col("size").alias("nx")), "x")
+        .join(reps.select(F.col("id").alias("y"), F.col("sig").alias("sy"), F.col("size").alias("ny")), "y")
+        .where((NEAR_DEN * F.least("nx", "ny") >= NEAR_NUM * F.greatest("nx", "ny")) & (few | (distance <= LOOSE_BITS)))
+        .select("x", "y")
     )
+    verified = verified_pairs(staged, docs, staged.keep(likely, "likely"), k)
     copies = (
         sigs.select("id", "h1", "h2").join(reps.where("n > 1").select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"])
         .select(F.col("id").alias("a"), "b")

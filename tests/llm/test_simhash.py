@@ -110,3 +110,29 @@ def test_components_of_a_path_and_a_star(spark):
     edges = spark.createDataFrame(path + star + [(7, 7), (None, 3)], T.StructType.fromDDL("a long, b long"))
     got = {r.node: r.root for r in components(staged, edges).collect()}
     assert got == {i: 0 for i in range(10)} | {i: 100 for i in range(100, 130)}
+
+
+def edited(rng, tokens, n):
+    """``tokens`` with n words replaced at places at least five apart, so each changes five shingles."""
+    out = list(tokens)
+    for at in rng.sample(range(5, len(out) - 5, 6), n):
+        out[at] = f"edit{rng.getrandbits(40)}"
+    return out
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_texts_under_the_similarity_stay(spark):
+    rng = random.Random(21)
+    rows, want = [], []
+    for i in range(40):
+        w = [f"word{rng.getrandbits(30)}" for _ in range(300)]
+        v = edited(rng, w, rng.randrange(4, 15))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        want += [2 * i] if jaccard(w, v) >= 0.8 else [2 * i, 2 * i + 1]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id for r in kept.collect()}
+    assert {x for x in want if x % 2} <= got
