@@ -150,9 +150,6 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- groups of near-duplicate texts, for the pipeline ---
 
-BANDS = 4
-LONG_WORD = 5
-LEAST_WORDS, MOST_WORDS = 3, 6
 SIGNATURE = 4  # 64-bit words of the signature that filters candidates
 #: Texts are near-duplicates from this Jaccard similarity of their sets of shingles (as a fraction, for exact sums).
 NEAR_NUM, NEAR_DEN = 4, 5
@@ -169,31 +166,22 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def signature(text: str | None, k: int = 5) -> tuple[list[int | None], list[int], int]:
-    """Band fingerprints and the signature of a text, and how many distinct shingles it has.
+def prefix_size(n: int) -> int:
+    """Of sets of n elements or fewer that share at least 0.8 of n, the first so many in any one order share one."""
+    return n - -(-NEAR_NUM * n // NEAR_DEN) + 1 if n else 0
 
-    Each distinct long word falls in one of four bands, whose fingerprint is taken over its six words of
-    least hash: with one word in 45 edited, which is where five-word shingles still have a similarity of
-    0.8, a band stays as it is three times in four, and all four change once in 300.  The fifth band and the
-    signature are taken over all distinct k-word shingles.  A band of too few words has none (null).
-    """
-    tokens = words(text or "")
-    h = shingle_set(text, k).view(np.uint64)
-    long_words = np.sort(hashed(list({w for w in tokens if len(w) >= LONG_WORD})))
-    band = long_words % np.uint64(BANDS)
-    bands: list[int | None] = []
-    for r in range(BANDS):
-        own = long_words[band == r][:MOST_WORDS]
-        bands.append(majority(_mixed(own, 0)) if len(own) >= LEAST_WORDS else None)
-    sig = [majority(_mixed(h, i)) for i in range(SIGNATURE)]
-    return [*bands, sig[0]], sig, len(h)
-
-
-def signature_udf(k: int = 5):
-    @F.pandas_udf("bands array<bigint>, sig array<bigint>, size int")
+
+def heads_udf(k: int = 5):
+    """Of a text's shingle set: its size, a signature, and its prefix in the order of the hashes."""
+
+    @F.pandas_udf("size int, sig array<bigint>, prefix array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        all_of = [signature(t, k) for t in texts]
-        return pd.DataFrame({"bands": [b for b, _, _ in all_of], "sig": [s for _, s, _ in all_of], "size": [n for _, _, n in all_of]})
+        sets = [shingle_set(t, k) for t in texts]
+        return pd.DataFrame({
+            "size": [len(h) for h in sets],
+            "sig": [[majority(_mixed(h.view(np.uint64), i)) for i in range(SIGNATURE)] for h in sets],
+            "prefix": [h[: prefix_size(len(h))] for h in sets],
+        })
 
     return run
 
@@ -233,62 +221,48 @@ def verified_pairs(staged: Staged, docs: DataFrame, pairs: DataFrame, k: int = 5
     return out
 
 
+def likely(nx, ny, sx, sy):
+    """What a pair of a similarity of 0.8 fulfils: sizes exactly, signatures but for seven deviations."""
+    distance = sum((F.bit_count(sx[i].bitwiseXOR(sy[i])) for i in range(SIGNATURE)), F.lit(0))
+    sizes = NEAR_DEN * F.least(nx, ny) >= NEAR_NUM * F.greatest(nx, ny)
+    return sizes & ((F.least(nx, ny) < FEW) | (distance <= LOOSE_BITS))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """(id, group): every document that has a near-duplicate, with the least doc_id of its group.
 
-    Equal texts (letter case and white space aside) are grouped first.  Of the rest, candidates share a
-    band fingerprint within two bits; each that sizes and signatures allow is verified by the exact Jaccard
-    similarity of the shingle sets, and verified links are closed over.  Rows with a null doc_id take no part.
+    Equal texts (letter case and white space aside) are grouped first.  Of the rest, two shingle sets with a
+    similarity of 0.8 or more have a hash in common among the least fifth of each (its prefix), so prefixes
+    are an index that misses no pair.  Candidates that sizes and signatures allow are verified by the exact
+    similarity, and verified links are closed over.  Rows with a null doc_id take no part.
     """
     staged = Staged(docs.sparkSession, "neardup")
     whole = F.lower(F.regexp_replace(F.trim(text_of()), "[\\x20\\x09-\\x0D]+", " "))
-    sigs = staged.keep(
+    heads = staged.keep(
         docs.where("doc_id IS NOT NULL").select(
             F.col("doc_id").alias("id"), F.xxhash64(whole).alias("h1"), F.crc32(whole.cast("binary")).alias("h2"),
-            signature_udf(k)(text_of()).alias("s"),
-        ).select("id", "h1", "h2", "s.*"), "sigs",
-    )
-    # the signature is the same for all copies, so any one serves
-    reps = staged.keep(
-        sigs.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "reps"
-    )
-    banded = staged.keep(
-        reps.select("id", F.posexplode("bands").alias("band", "fp")).where("fp IS NOT NULL"), "banded"
+            heads_udf(k)(text_of()).alias("s"),
+        ).select("id", "h1", "h2", "s.*"), "heads",
     )
-    nodes = staged.keep(banded.groupBy("band", "fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
-    found = staged.keep(links(staged, nodes.select("band", "fp")).distinct(), "links")
-    ends = nodes.select("band", "fp", "rep")
-    across = (
-        found.join(ends.select("band", F.col("fp").alias("a"), F.col("rep").alias("x")), ["band", "a"])
-        .join(ends.select("band", F.col("fp").alias("b"), F.col("rep").alias("y")), ["band", "b"])
-        .select("x", "y")
-    )
-    within = banded.join(nodes.where("n > 1").select("band", "fp", "rep"), ["band", "fp"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    beside = (
-        banded.join(nodes.where("n > 2").select("band", "fp"), ["band", "fp"])
-        .select(F.col("id").alias("x"), F.lag("id").over(Window.partitionBy("band", "fp").orderBy("id")).alias("y"))
-    )
-    candidates = (
-        across.unionByName(within).unionByName(beside).where("x <> y AND y IS NOT NULL")
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    )
-    few = F.least("nx", "ny") < FEW
-    distance = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(SIGNATURE)), F.lit(0))
-    likely = (
-        candidates.join(reps.select(F.col("id").alias("x"), F.col("sig").alias("sx"), F.col("size").alias("nx")), "x")
-        .join(reps.select(F.col("id").alias("y"), F.col("sig").alias("sy"), F.col("size").alias("ny")), "y")
-        .where((NEAR_DEN * F.least("nx", "ny") >= NEAR_NUM * F.greatest("nx", "ny")) & (few | (distance <= LOOSE_BITS)))
-        .select("x", "y")
-    )
-    verified = verified_pairs(staged, docs, staged.keep(likely, "likely"), k)
-    copies = (
-        sigs.select("id", "h1", "h2").join(reps.where("n > 1").select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"])
-        .select(F.col("id").alias("a"), "b")
-    )
-    roots = components(staged, staged.keep(verified.unionByName(copies), "verified"))
+    first = heads.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = staged.keep(heads.select("id", "h1", "h2").join(first, ["h1", "h2"]).where("id <> b"), "copies")
+    own = heads.join(copies.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_anti")
+    light = staged.keep(own.where("size > 0").select("id", "size", "sig"), "light")
+    index = own.select("id", F.explode("prefix").alias("key"))
+    shared = staged.keep(index.join(index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared")
+    star = shared.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
+    linked = _near(staged, docs, star, light, k).unionByName(copies.select(F.col("id").alias("a"), "b"))
+    roots = components(staged, staged.keep(linked, "verified"))
     return staged.keep(roots.select(F.col("node").alias("id"), F.col("root").alias("group")), "groups")
 
 
+def _near(staged: Staged, docs: DataFrame, pairs: DataFrame, light: DataFrame, k: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` (x, y) that are near; ``light`` has sizes and signatures by id."""
+    side = lambda c: light.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where(likely(*map(F.col, ("nx", "ny", "sx", "sy"))))
+    return verified_pairs(staged, docs, staged.keep(both.select("x", "y").distinct(), "likely"), k)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the least doc_id.
 

@@ -136,3 +136,17 @@ def test_texts_under_the_similarity_stay(spark):
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id for r in kept.collect()}
     assert {x for x in want if x % 2} <= got
+
+
+def test_appended_and_cut_copies_are_found(spark):
+    rng = random.Random(22)
+    word = lambda: f"word{rng.getrandbits(30)}"
+    rows, near = [], set()
+    for i in range(0, 120, 2):
+        w = [word() for _ in range(rng.choice([100, 400, 1500]))]
+        v = w + [word() for _ in range(len(w) * 23 // 100)] if i % 4 else w[: len(w) * 82 // 100]
+        assert jaccard(w, v) >= 0.8
+        near.add(i + 1)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - near
