@@ -156,6 +156,9 @@ NEAR_NUM, NEAR_DEN = 4, 5
 #: Of 256 bits. Sets with a Jaccard similarity of 0.8 differ in 39 on average (the angle of two sets with that
 #: overlap), with a deviation of six, so this loose filter is seven deviations off; sets of under FEW shingles skip it.
 LOOSE_BITS, FEW = 82, 64
+#: Keys of more unlinked texts are moved to the end of the order of hashes, in so many rounds at most. Both are for
+#: speed alone: whatever the order, all pairs of the unlinked texts of a key are tried in the end.
+PAIRED, REORDERS = 32, 3
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -233,8 +236,9 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
 
     Equal texts (letter case and white space aside) are grouped first.  Of the rest, two shingle sets with a
     similarity of 0.8 or more have a hash in common among the least fifth of each (its prefix), so prefixes
-    are an index that misses no pair.  Candidates that sizes and signatures allow are verified by the exact
-    similarity, and verified links are closed over.  Rows with a null doc_id take no part.
+    are an index that misses no pair.  Each text is first compared with the least id of each of its hashes; then
+    all pairs of one hash that aren't linked yet are compared.  Candidates that sizes and signatures allow are
+    verified by the exact similarity, and verified links are closed over.  Rows with a null doc_id take no part.
     """
     staged = Staged(docs.sparkSession, "neardup")
     whole = F.lower(F.regexp_replace(F.trim(text_of()), "[\\x20\\x09-\\x0D]+", " "))
@@ -249,13 +253,60 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     own = heads.join(copies.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_anti")
     light = staged.keep(own.where("size > 0").select("id", "size", "sig"), "light")
     index = own.select("id", F.explode("prefix").alias("key"))
-    shared = staged.keep(index.join(index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "shared")
+    shared = staged.keep(_shared(index), "shared")
     star = shared.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
     linked = _near(staged, docs, star, light, k).unionByName(copies.select(F.col("id").alias("a"), "b"))
-    roots = components(staged, staged.keep(linked, "verified"))
+    linked = staged.keep(linked, "verified")
+    roots = components(staged, linked)
+    # keys whose texts aren't all linked: hashes of many texts go to the end of the order, then all pairs are tried
+    last = None
+    for _ in range(REORDERS):
+        open_rows = _unlinked(shared, roots)
+        many = open_rows.where(F.col("n") > PAIRED).select("key").distinct()
+        many = staged.keep(many.join(last, "key", "left_anti") if last is not None else many, "many")
+        if many.isEmpty():
+            break
+        last = many if last is None else staged.keep(last.union(many), "last")
+        moved = staged.keep(shared.join(last, "key", "left_semi").select("id").distinct(), "moved")
+        fresh = staged.keep(_reordered(sets_of(docs, moved, k), last), "fresh")
+        # a moved text's further hashes meet the unmoved texts that have them in their prefix, shared before or not
+        keys = fresh.select("key").distinct()
+        rest = index.join(keys, "key", "left_semi").unionByName(shared.select("id", "key")).distinct().join(moved, "id", "left_anti")
+        shared, old = staged.keep(_shared(rest.unionByName(fresh)), "shared"), shared
+        index = index.join(moved, "id", "left_anti").unionByName(fresh)
+        staged.drop(old)
+    rows = staged.keep(_unlinked(shared, roots).join(light, "id"), "open")
+    a = rows.select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "root", "size", "sig")])
+    b = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "sig")])
+    pairs = a.join(b, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & likely(*map(F.col, ("size1", "size2", "sig1", "sig2"))))
+    pairs = staged.keep(pairs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct(), "pairs")
+    more = verified_pairs(staged, docs, pairs, k)
+    roots = components(staged, staged.keep(linked.unionByName(more), "verified"))
     return staged.keep(roots.select(F.col("node").alias("id"), F.col("root").alias("group")), "groups")
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows (id, key) of keys that several texts have, with the key's count and least id."""
+    counts = index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return index.join(counts, "key")
+
+
+def _unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, n, root): the rows of keys whose texts have several roots."""
+    rooted = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    return rooted.join(several, "key", "left_semi")
+
+
+def _reordered(sets: DataFrame, last: DataFrame) -> DataFrame:
+    """(id, key): the prefixes of shingle sets in the order of hashes, those in ``last`` (key) after all others."""
+    n = F.size("hashes").cast("long")
+    share = sets.select("id", F.xxhash64("hashes").alias("set"), (n - F.ceil(n * NEAR_NUM / NEAR_DEN) + 1).alias("most"), F.explode("hashes").alias("key"))
+    marked = share.join(last.withColumn("late", F.lit(1)), "key", "left")
+    order = Window.partitionBy("id", "set").orderBy(F.coalesce("late", F.lit(0)), "key")
+    return marked.withColumn("at", F.row_number().over(order)).where("at <= most").select("id", "key").distinct()
+
+
 def _near(staged: Staged, docs: DataFrame, pairs: DataFrame, light: DataFrame, k: int) -> DataFrame:
     """The rows (a, b) of ``pairs`` (x, y) that are near; ``light`` has sizes and signatures by id."""
     side = lambda c: light.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))

@@ -150,3 +150,23 @@ def test_appended_and_cut_copies_are_found(spark):
         rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
     kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows} - near
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    """Many texts of a few frequent lines, and variants of variants: each within 0.8 of some, not of the least id."""
+    rng = random.Random(23)
+    lines = [[f"line{rng.getrandbits(20)}" for _ in range(20)] for _ in range(24)]
+    texts = [[w for line in rng.sample(lines, 12) for w in line] + [f"end{i}"] for i in range(60)]
+    texts += [edited(rng, t, rng.randrange(1, 6)) for t in texts[:30]]
+    base = [f"word{rng.getrandbits(30)}" for _ in range(300)]
+    group = [base]
+    for _ in range(80):
+        group.append(edited(rng, rng.choice(group), rng.randrange(2, 5)))
+    texts += group
+    rng.shuffle(texts)
+    sets = [set(simhash.shingle_set(" ".join(t)).tolist()) for t in texts]
+    n = range(len(texts))
+    pairs = [(a, b) for a in n for b in n if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.group for r in simhash.near_duplicates(docs).collect()}
+    assert {i: got.get(i, i) for i in n} == union_find(pairs, n)
