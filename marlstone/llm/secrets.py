@@ -1,8 +1,8 @@
 """Secret scans: patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is of random strings, one of ordinary identifiers; both are first-order chains over characters,
-trained from labelled samples.  A long unbroken token whose ratio per character is over a threshold set
-on held-back samples is a secret that no pattern knows.
+trained from labelled samples.  A stretch of 20 characters or more of an unbroken run whose ratio per
+character is over a threshold set on held-back samples is a secret that no pattern knows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
+#: Least characters of a secret that no pattern knows, and what stands between the parts of a run.
+STRETCH = 20
+SEPARATORS = "=/_-"
+#: A run of fewer different characters is a ruled line or filler, of which the chains know nothing; one in a million
+#: random strings of 20 hexadecimal digits has so few.
+DISTINCT = 6
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _CODE = np.full(128, len(ALPHABET), np.int64)
@@ -82,13 +88,40 @@ class MarkovPair:
     ratio: np.ndarray
     threshold: float
 
-    def score(self, token: str) -> float:
+    def parts(self, token: str) -> np.ndarray:
+        """The ratio of each character after the one before."""
         code = np.concatenate([[len(ALPHABET)], _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]])
-        return float(self.ratio[code[:-1], code[1:]].mean())
+        return self.ratio[code[:-1], code[1:]]
+
+    def score(self, token: str) -> float:
+        """The highest mean ratio of a stretch of STRETCH characters or more (of the whole, if it is shorter)."""
+        parts = self.parts(token)
+        if len(parts) <= STRETCH:
+            return float(parts.mean())
+        total = np.concatenate([[0.0], np.cumsum(parts)])
+        # a stretch of twice the length or more has a half that is no worse
+        return float(max(((total[n:] - total[:-n]) / n).max() for n in range(STRETCH, min(2 * STRETCH, len(parts) + 1))))
 
     def is_secret(self, token: str) -> bool:
-        """Random strings mix letters and digits; a token of one of them alone is never taken."""
-        return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.score(token) > self.threshold
+        return self.score(token) > self.threshold
+
+    def stretches(self, token: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets of an unbroken run: the whole run if its mean ratio is over the threshold,
+        else the stretches of most evidence, each out to the next separators, and those left and right of it."""
+        if len(token) < STRETCH or len(set(token)) < DISTINCT or not self.is_secret(token):
+            return []
+        over = self.parts(token) - self.threshold
+        if over.sum() > 0:
+            return [(0, len(token))]
+        total = np.concatenate([[0.0], np.cumsum(over)])
+        gain = total[STRETCH:] - np.minimum.accumulate(total[:-STRETCH])
+        e = int(gain.argmax()) + STRETCH
+        s = int(total[: e - STRETCH + 1].argmin())
+        while s > 0 and token[s - 1] not in SEPARATORS:
+            s -= 1
+        while e < len(token) and token[e] not in SEPARATORS:
+            e += 1
+        return [*self.stretches(token[:s]), (s, e), *((e + a, e + b) for a, b in self.stretches(token[e:]))]
 
 
 def _counts(sample: list[str]) -> np.ndarray:
@@ -127,7 +160,7 @@ def scan(text: str, model: MarkovPair) -> list[tuple[int, int, int]]:
         if m.end() - m.start() >= LEAST_ACCESS:
             found.append((m.start(), m.end(), 1))
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    found += [(m.start(), m.end(), 3) for m in CANDIDATE.finditer(text) if model.is_secret(m.group())]
+    found += [(m.start() + s, m.start() + e, 3) for m in CANDIDATE.finditer(text) for s, e in model.stretches(m.group())]
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -66,6 +66,19 @@ def test_secrets_on_odd_rows_and_redaction(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
 
+def test_keys_are_found_behind_names_and_paths_and_without_digits():
+    model, rng = secrets.train(), random.Random(78)
+    b62 = string.ascii_letters + string.digits
+    for prefix in ("", "client_session_key=", "service/config/default/", "/data/service/config/release/default/"):
+        for n in (20, 24, 32):
+            for letters in (b62, string.ascii_letters):
+                keys = ["".join(rng.choices(letters, k=n)) for _ in range(100)]
+                whole = [any(s <= len(prefix) and e == len(prefix) + n for s, e, _ in secrets.scan(prefix + k, model)) for k in keys]
+                assert np.mean(whole) > 0.97, (prefix, n)
+    for t in ("-" * 60, "=" * 30, "-=" * 20, "x" * 40, "/data/service/config/release/default/session", "https/example/com/2024/01/15/article"):
+        assert not secrets.scan(t, model), t
+
+
 # --- toxicity ---
 def corpus(n, seed, bad=("grubnak", "zwolpid", "vexhorr")):
     rng = random.Random(seed)
