@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
             break
         last = many if last is None else staged.keep(last.union(many), "last")
         moved = staged.keep(shared.join(last, "key", "left_semi").select("id").distinct(), "moved")
-        fresh = staged.keep(_reordered(sets_of(docs, moved, k), last), "fresh")
+        fresh = staged.keep(_reordered(staged, docs, moved, last, k), "fresh")
         # a moved text's further hashes meet the unmoved texts that have them in their prefix, shared before or not
         keys = fresh.select("key").distinct()
         rest = index.join(keys, "key", "left_semi").unionByName(shared.select("id", "key")).distinct().join(moved, "id", "left_anti")
@@ -298,13 +298,32 @@ def _unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several, "key", "left_semi")
 
 
-def _reordered(sets: DataFrame, last: DataFrame) -> DataFrame:
-    """(id, key): the prefixes of shingle sets in the order of hashes, those in ``last`` (key) after all others."""
-    n = F.size("hashes").cast("long")
-    share = sets.select("id", F.xxhash64("hashes").alias("set"), (n - F.ceil(n * NEAR_NUM / NEAR_DEN) + 1).alias("most"), F.explode("hashes").alias("key"))
-    marked = share.join(last.withColumn("late", F.lit(1)), "key", "left")
-    order = Window.partitionBy("id", "set").orderBy(F.coalesce("late", F.lit(0)), "key")
-    return marked.withColumn("at", F.row_number().over(order)).where("at <= most").select("id", "key").distinct()
+def _reordered(staged: Staged, docs: DataFrame, ids: DataFrame, last: DataFrame, k: int) -> DataFrame:
+    """(id, key): the prefixes of the texts of ``ids`` in the order of hashes, those in ``last`` (key) after all others.
+
+    First of the start of each set only; texts with too many late hashes there are taken again as a whole.
+    """
+    done = None
+    for whole in (False, True):
+        n = F.size("hashes")
+        sets = sets_of(docs, ids, k).select("id", "hashes", n.alias("n"), F.monotonically_increasing_id().alias("set"))
+        most = (F.col("n") - F.ceil(F.col("n") * NEAR_NUM / NEAR_DEN) + 1).cast("int")
+        sets = sets.withColumn("most", most)
+        sets = sets.withColumn("taken", F.col("n") if whole else F.least("n", F.col("most") + F.floor(F.col("most") / 2).cast("int") + 16))
+        # the array is cut before it is exploded, so nothing is computed of it in every row
+        rows = sets.select("id", "set", "n", "most", "taken", F.slice("hashes", F.lit(1), F.col("taken")).alias("start"))
+        rows = rows.select("id", "set", "n", "most", "taken", F.explode("start").alias("key")).join(last.withColumn("late", F.lit(1)), "key", "left")
+        late = F.coalesce("late", F.lit(0))
+        own = Window.partitionBy("id", "set")
+        rows = rows.withColumns({"at": F.row_number().over(own.orderBy(late, "key")), "lates": F.sum(late).over(own)})
+        rows = rows.where("at <= most").select("id", "key", F.expr("taken = n or taken - lates >= most").alias("enough"))
+        rows = staged.keep(rows, "reordered")
+        part = rows.where("enough").select("id", "key")
+        done = part if done is None else done.unionByName(part)
+        ids = staged.keep(rows.where("not enough").select("id").distinct(), "short")
+        if ids.isEmpty():
+            break
+    return done.distinct()
 
 
 def _near(staged: Staged, docs: DataFrame, pairs: DataFrame, light: DataFrame, k: int) -> DataFrame:
