@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[Staged]] = []
+
+
+@contextmanager
+def scratch():
+    """Within it, every table that operators stage is deleted at the end; what is needed later has to be written elsewhere."""
+    own: list[Staged] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for staged in own:
+            staged.only()
+
+
 class Staged:
-    """Written tables of one operator run; ``keep`` cuts the lineage, ``drop`` removes what was superseded."""
+    """Written tables of one operator run; ``keep`` cuts the lineage, ``drop`` removes what was superseded, and ``only``
+    leaves nothing but the tables that a result is still read from."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.paths: list[str] = []
+        if _scopes:
+            _scopes[-1].append(self)
 
     def keep(self, df: DataFrame, what: str = "t") -> DataFrame:
         """Write ``df`` as Parquet in the shared folder and read it back."""
@@ -47,32 +68,51 @@ class Staged:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._marlstone_path = path
+        self.paths.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_marlstone_path", None)
-        if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+    def drop(self, *tables: DataFrame) -> None:
+        for path in (getattr(df, "_marlstone_path", None) for df in tables):
+            if path in self.paths:
+                self.paths.remove(path)
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        left = {getattr(df, "_marlstone_path", None) for df in tables}
+        for path in [p for p in self.paths if p not in left]:
+            self.paths.remove(path)
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, letter case aside."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether a written table has few enough rows to broadcast (reads Parquet footers only)."""
     return df.count() <= most
 
 
-def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", most: int = BROADCAST_ROWS, salts: int = 8) -> DataFrame:
+def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", most: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Join ``big`` to ``side`` (a written table, one row per key).
 
     A side of a checked size is broadcast.  Beyond that both are shuffled, with ``salts`` copies of each
-    side row, so that one hot key is dealt over several tasks.
+    side row, so that one hot key is dealt over several tasks; equal rows of different partitions are dealt apart too.
     """
     if small(side, most):
         return big.join(F.broadcast(side), key, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(salts)).cast("int"))
-    copies = side.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    salt = unused("salt", big, side)
+    hashable = [F.col(f"`{f.name}`") for f in big.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts)).cast("int"))
+    copies = side.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return salted.join(copies, [key, salt], how).drop(salt)
 
 
 def fold(doc_id: Column) -> Column:

@@ -16,12 +16,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marlstone.llm.common import Staged, lookup, table, text_of
+from marlstone.llm.common import Staged, lookup, small, table, text_of, unused
 from marlstone.llm.components import components
 
 #: Maps A-Z to a-z in UTF-8, where those bytes stand for nothing else.
@@ -88,9 +88,10 @@ def links(staged: Staged, nodes: DataFrame, bits: int = 2, pair_limit: int = 128
     """Edges (band, a, b) over distinct ``nodes`` (band int, fp long) that connect exactly what pairs
     within ``bits`` of each other, of one band, connect."""
     index = nodes.select("band", "fp", F.explode(F.array(*_variants(F.col("fp"), bits))).alias("key"))
+    # counted with partial sums, so a popular segment is no one task's load; the counts are joined back by many rows a key
+    counts = index.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged.keep(index.join(counts, ["band", "key"]), "shared")
     bucket = Window.partitionBy("band", "key")
-    shared = staged.keep(index.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "shared")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b")))
     before = bucket.orderBy("fp").rowsBetween(-pair_limit, -1)
     exact_distance = lambda b: (F.bit_count(F.col("fp").bitwiseXOR(b)) <= bits)
     pairs = (
@@ -112,7 +113,6 @@ def links(staged: Staged, nodes: DataFrame, bits: int = 2, pair_limit: int = 128
         starred.join(least.where("b < most").drop("most"), ["band", "mask", "kept"])
         .where("fp <> b").select("band", F.col("fp").alias("a"), "b")
     )
-    del near
     return pairs.unionByName(stars)
 
 
@@ -135,6 +135,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = staged.keep(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = staged.keep(rooted.join(of_root, "root").select("fp", "component_id", F.lit(True).alias("known")), "known")
+    staged.only(fps, known)
     out = lookup(fps, known, "fp")
     return out.select(
         F.col("id").alias(id_col), F.col("fp").alias("fingerprint"),
@@ -149,6 +150,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- groups of near-duplicate texts, for the pipeline ---
+#
+# Sixty-four bits of SimHash can't tell a similarity of 0.8: two such texts differ in about twenty of them, and deletion
+# variants reach two. So texts that may be near are brought together by bands of minima of their shingle hashes; SimHash
+# words are the loose filter of what comes together, and the exact similarity of the shingle sets decides.
 
 SIGNATURE = 4  # 64-bit words of the signature that filters candidates
 #: Texts are near-duplicates from this Jaccard similarity of their sets of shingles (as a fraction, for exact sums).
@@ -156,10 +161,17 @@ NEAR_NUM, NEAR_DEN = 4, 5
 #: Of 256 bits. Sets with a Jaccard similarity of 0.8 differ in 39 on average (the angle of two sets with that
 #: overlap), with a deviation of six, so this loose filter is seven deviations off; sets of under FEW shingles skip it.
 LOOSE_BITS, FEW = 82, 64
-#: Keys of more unlinked texts are moved to the end of the order of hashes, in so many rounds at most. Both are for
-#: speed alone: whatever the order, all pairs of the unlinked texts of a key are tried in the end.
-PAIRED, REORDERS = 32, 3
+#: Bands of so many minima each: a pair of a similarity of 0.8 shares no band once in 38 000 times.
+BANDS, ROWS = 20, 4
+#: Bands that more unlinked texts share are taken two at a time, which brings together no pair less than all but one in
+#: 2800 at a similarity of 0.8; what then shares a pair of bands is compared whatever its number.
+PAIRED = 64
+#: A text in more pairs is joined apart from the rest.
+HUB = 1000
+#: Hashes in the sets of such texts that are broadcast at most (8 bytes each).
+HUB_HASHES = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_BAND = np.random.default_rng(11).integers(1, 1 << 63, (BANDS * ROWS, 2), np.uint64) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -169,21 +181,32 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def prefix_size(n: int) -> int:
-    """Of sets of n elements or fewer that share at least 0.8 of n, the first so many in any one order share one."""
-    return n - -(-NEAR_NUM * n // NEAR_DEN) + 1 if n else 0
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One signed key for each band of a set's hashes; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 512):
+            part = hashes[i : i + 512].view(np.uint64)
+            part = (part ^ (part >> np.uint64(29)))[None, :] * _BAND[:, :1] + _BAND[:, 1:]
+            np.minimum(least, part.min(1), out=least)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0]
+        for r in range(ROWS):
+            key = _mixed(key ^ least[r::ROWS], r)
+    return key.view(np.int64)
 
 
 def heads_udf(k: int = 5):
-    """Of a text's shingle set: its size, a signature, and its prefix in the order of the hashes."""
+    """Of a text's shingle set: its size, a signature, and its bands."""
 
-    @F.pandas_udf("size int, sig array<bigint>, prefix array<bigint>")
+    @F.pandas_udf("size int, sig array<bigint>, bands array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, k) for t in texts]
         return pd.DataFrame({
             "size": [len(h) for h in sets],
             "sig": [[majority(_mixed(h.view(np.uint64), i)) for i in range(SIGNATURE)] for h in sets],
-            "prefix": [h[: prefix_size(len(h))] for h in sets],
+            "bands": [bands(h) for h in sets],
         })
 
     return run
@@ -202,21 +225,23 @@ def sets_udf(k: int = 5):
     return run
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int = 5) -> DataFrame:
-    """(id, hashes) of the documents whose ids are in ``ids`` (column id)."""
-    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
-    return some.select("id", sets_udf(k)("text").alias("hashes"))
-
-
-def verified_pairs(staged: Staged, docs: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows (a, b) of written ``pairs`` (x, y) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+def verified_pairs(staged: Staged, texts: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows (a, b) of written ``pairs`` (x, y) whose ``texts`` (id, text) have shingle sets with a Jaccard similarity
+    of 0.8 or more."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    sets = staged.keep(sets_of(docs, ids, k), "sets")
-    both = (
-        pairs.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("hx")), "x")
-        .join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("hy")), "y")
-        .withColumn("common", F.size(F.array_intersect("hx", "hy")).cast("long"))
-    )
+    sets = staged.keep(texts.join(ids, "id", "left_semi").select("id", sets_udf(k)("text").alias("hashes")), "sets")
+    both = pairs
+    for end in ("x", "y"):
+        own = sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}"))
+        hubs = staged.keep(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select(end), "hubs")
+        hub_sets = own.join(hubs, end)
+        if hubs.isEmpty() or not small(hubs) or hub_sets.agg(F.sum(F.size(f"h{end}"))).first()[0] > HUB_HASHES:
+            both = both.join(own, end)
+            continue
+        names = [*both.columns, f"h{end}"]
+        of_hubs = both.join(F.broadcast(hub_sets), end).select(*names)
+        both = of_hubs.unionByName(both.join(F.broadcast(hubs), end, "left_anti").join(own, end).select(*names))
+    both = both.withColumn("common", F.size(F.array_intersect("hx", "hy")).cast("long"))
     total = F.size("hx") + F.size("hy")  # common / (total - common) >= NEAR
     near = both.where((NEAR_DEN + NEAR_NUM) * F.col("common") >= NEAR_NUM * total)
     out = staged.keep(near.where("common > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), "near")
@@ -231,120 +256,93 @@ def likely(nx, ny, sx, sy):
     return sizes & ((F.least(nx, ny) < FEW) | (distance <= LOOSE_BITS))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(id, group): every document that has a near-duplicate, with the least doc_id of its group.
+def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) -> DataFrame:
+    """(id, group): every document that has a near-duplicate other than equal ones after it, with the least id of its
+    group; ``ident`` (doc_id) tells documents apart.
 
-    Equal texts (letter case and white space aside) are grouped first.  Of the rest, two shingle sets with a
-    similarity of 0.8 or more have a hash in common among the least fifth of each (its prefix), so prefixes
-    are an index that misses no pair.  Each text is first compared with the least id of each of its hashes; then
-    all pairs of one hash that aren't linked yet are compared.  Candidates that sizes and signatures allow are
-    verified by the exact similarity, and verified links are closed over.  Rows with a null doc_id take no part.
+    Equal texts (letter case and white space aside) are grouped first, under their least id.  The rest are indexed
+    by bands of minima of their shingle hashes.  Each text is first compared with the least id of each of its bands;
+    then all pairs that share a band and aren't linked yet are compared, those of popular bands if they share two.
+    Candidates that sizes and signatures allow are verified by the exact similarity of their shingle sets, and verified
+    links are closed over.  Rows with a null doc_id take no part.
     """
     staged = Staged(docs.sparkSession, "neardup")
-    whole = F.lower(F.regexp_replace(F.trim(text_of()), "[\\x20\\x09-\\x0D]+", " "))
-    heads = staged.keep(
-        docs.where("doc_id IS NOT NULL").select(
-            F.col("doc_id").alias("id"), F.xxhash64(whole).alias("h1"), F.crc32(whole.cast("binary")).alias("h2"),
-            heads_udf(k)(text_of()).alias("s"),
-        ).select("id", "h1", "h2", "s.*"), "heads",
-    )
-    first = heads.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = staged.keep(heads.select("id", "h1", "h2").join(first, ["h1", "h2"]).where("id <> b"), "copies")
-    own = heads.join(copies.select("id", "h1", "h2"), ["id", "h1", "h2"], "left_anti")
-    light = staged.keep(own.where("size > 0").select("id", "size", "sig"), "light")
-    index = own.select("id", F.explode("prefix").alias("key"))
-    shared = staged.keep(_shared(index), "shared")
+    whole = F.lower(F.regexp_replace(F.trim("text"), "[\\x20\\x09-\\x0D]+", " "))
+    texts = docs.where("doc_id IS NOT NULL").select((ident if ident is not None else F.col("doc_id")).alias("id"), text_of().alias("text"))
+    same = F.struct(F.xxhash64(whole).alias("h1"), F.crc32(whole.cast("binary")).alias("h2")).alias("same")
+    heads = staged.keep(texts.select("id", same, heads_udf(k)("text").alias("s")).select("id", "same", "s.*"), "heads")
+    first = heads.groupBy("same").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "b")
+    first = staged.keep(first, "first")
+    paired = lookup(heads, first, "same")
+    copies = staged.keep(paired.where("id <> b").select("id", "b"), "copies")
+    own = staged.keep(paired.where("b IS NULL OR id = b").where("size > 0").select("id", "size", "sig", "bands"), "own")
+    index = own.select("id", F.explode("bands").alias("key"))
+    counts = index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged.keep(index.join(counts.drop("n"), "key"), "shared")
+    light = own.select("id", "size", "sig")
     star = shared.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
-    linked = _near(staged, docs, star, light, k).unionByName(copies.select(F.col("id").alias("a"), "b"))
-    linked = staged.keep(linked, "verified")
-    roots = components(staged, linked)
-    # keys whose texts aren't all linked: hashes of many texts go to the end of the order, then all pairs are tried
-    last = None
-    for _ in range(REORDERS):
-        open_rows = _unlinked(shared, roots)
-        many = open_rows.where(F.col("n") > PAIRED).select("key").distinct()
-        many = staged.keep(many.join(last, "key", "left_anti") if last is not None else many, "many")
-        if many.isEmpty():
-            break
-        last = many if last is None else staged.keep(last.union(many), "last")
-        moved = staged.keep(shared.join(last, "key", "left_semi").select("id").distinct(), "moved")
-        fresh = staged.keep(_reordered(staged, docs, moved, last, k), "fresh")
-        # a moved text's further hashes meet the unmoved texts that have them in their prefix, shared before or not
-        keys = fresh.select("key").distinct()
-        rest = index.join(keys, "key", "left_semi").unionByName(shared.select("id", "key")).distinct().join(moved, "id", "left_anti")
-        shared, old = staged.keep(_shared(rest.unionByName(fresh)), "shared"), shared
-        index = index.join(moved, "id", "left_anti").unionByName(fresh)
-        staged.drop(old)
-    rows = staged.keep(_unlinked(shared, roots).join(light, "id"), "open")
-    a = rows.select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "root", "size", "sig")])
-    b = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "sig")])
+    # equal copies hang on their least alone, so they take no part in the search for components
+    linked = verified_pairs(staged, texts, _likely(staged, star, light), k)
+    roots = staged.keep(components(staged, linked), "first_roots")
+    pairs = _unlinked_pairs(staged, shared, roots, light)
+    more = verified_pairs(staged, texts, pairs, k)
+    roots = staged.keep(components(staged, linked.unionByName(more)), "roots")
+    groups = roots.select(F.col("node").alias("id"), F.col("root").alias("group"))
+    hung = lookup(copies, staged.keep(roots.select(F.col("node").alias("b"), "root"), "ends"), "b")
+    groups = staged.keep(groups.unionByName(hung.select("id", F.coalesce("root", "b").alias("group"))), "groups")
+    staged.only(groups)
+    return groups
+
+
+def _likely(staged: Staged, pairs: DataFrame, light: DataFrame) -> DataFrame:
+    """The ``pairs`` (x, y) whose sizes and signatures (in ``light``, by id) allow a similarity of 0.8."""
+    for end in ("x", "y"):
+        side = staged.keep(light.select(F.col("id").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), f"side_{end}")
+        pairs = lookup(pairs, side, end, "inner", salts=4)
+    return staged.keep(pairs.where(likely(*map(F.col, ("nx", "ny", "sx", "sy")))).select("x", "y"), "likely")
+
+
+def _unlinked_pairs(staged: Staged, shared: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (x, y) that share a band but no root and that sizes and signatures allow."""
+    rooted = shared.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rooted = rooted.select("id", "key", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
+    several = several.where("r1 <> r2").select("key", (F.col("n") > PAIRED).alias("popular"))
+    rows = staged.keep(rooted.join(several, "key").join(light, "id"), "open")
+    # two bands at a time: a pair that shares one that is not popular is found there
+    popular = rows.where("popular").groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"), *[F.first(c).alias(c) for c in ("root", "size", "sig")])
+    later = lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))
+    twos = popular.select("id", "root", "size", "sig", F.explode(F.flatten(F.transform("keys", later))).alias("key"))
+    every = rows.where("not popular").select("id", "root", "size", "sig", "key").unionByName(twos)
+    found = every.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    every = staged.keep(every.join(found, "key"), "every")
+    a = every.select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "root", "size", "sig")])
+    b = every.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "sig")])
     pairs = a.join(b, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & likely(*map(F.col, ("size1", "size2", "sig1", "sig2"))))
-    pairs = staged.keep(pairs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct(), "pairs")
-    more = verified_pairs(staged, docs, pairs, k)
-    roots = components(staged, staged.keep(linked.unionByName(more), "verified"))
-    return staged.keep(roots.select(F.col("node").alias("id"), F.col("root").alias("group")), "groups")
-
-
-def _shared(index: DataFrame) -> DataFrame:
-    """The rows (id, key) of keys that several texts have, with the key's count and least id."""
-    counts = index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return index.join(counts, "key")
-
-
-def _unlinked(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, n, root): the rows of keys whose texts have several roots."""
-    rooted = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    return rooted.join(several, "key", "left_semi")
-
-
-def _reordered(staged: Staged, docs: DataFrame, ids: DataFrame, last: DataFrame, k: int) -> DataFrame:
-    """(id, key): the prefixes of the texts of ``ids`` in the order of hashes, those in ``last`` (key) after all others.
-
-    First of the start of each set only; texts with too many late hashes there are taken again as a whole.
-    """
-    done = None
-    for whole in (False, True):
-        n = F.size("hashes")
-        sets = sets_of(docs, ids, k).select("id", "hashes", n.alias("n"), F.monotonically_increasing_id().alias("set"))
-        most = (F.col("n") - F.ceil(F.col("n") * NEAR_NUM / NEAR_DEN) + 1).cast("int")
-        sets = sets.withColumn("most", most)
-        sets = sets.withColumn("taken", F.col("n") if whole else F.least("n", F.col("most") + F.floor(F.col("most") / 2).cast("int") + 16))
-        # the array is cut before it is exploded, so nothing is computed of it in every row
-        rows = sets.select("id", "set", "n", "most", "taken", F.slice("hashes", F.lit(1), F.col("taken")).alias("start"))
-        rows = rows.select("id", "set", "n", "most", "taken", F.explode("start").alias("key")).join(last.withColumn("late", F.lit(1)), "key", "left")
-        late = F.coalesce("late", F.lit(0))
-        own = Window.partitionBy("id", "set")
-        rows = rows.withColumns({"at": F.row_number().over(own.orderBy(late, "key")), "lates": F.sum(late).over(own)})
-        rows = rows.where("at <= most").select("id", "key", F.expr("taken = n or taken - lates >= most").alias("enough"))
-        rows = staged.keep(rows, "reordered")
-        part = rows.where("enough").select("id", "key")
-        done = part if done is None else done.unionByName(part)
-        ids = staged.keep(rows.where("not enough").select("id").distinct(), "short")
-        if ids.isEmpty():
-            break
-    return done.distinct()
-
-
-def _near(staged: Staged, docs: DataFrame, pairs: DataFrame, light: DataFrame, k: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` (x, y) that are near; ``light`` has sizes and signatures by id."""
-    side = lambda c: light.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where(likely(*map(F.col, ("nx", "ny", "sx", "sy"))))
-    return verified_pairs(staged, docs, staged.keep(both.select("x", "y").distinct(), "likely"), k)
+    return staged.keep(pairs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct(), "pairs")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the least doc_id.
 
-    Repeated rows (one doc_id several times) are reduced to one; rows with a null doc_id all stay.
+    Rows that share a doc_id are documents of their own if their texts differ, and of equal ones one row stays, the
+    least by its other columns as JSON; of a group that has texts of one id, the least hash stays. Rows with a null doc_id
+    all stay. Null, empty and wordless texts are equal copies of each other. Columns of any name and type stay, and an
+    empty table stays empty.
     """
-    groups = near_duplicates(docs)
-    gone = groups.where("id <> group").select(F.col("id").alias("doc_id"), F.lit(True).alias("_gone"))
     staged = Staged(docs.sparkSession, "dedup")
-    gone = staged.keep(gone, "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left").where("_gone IS NULL").select(*docs.columns)
-    again = staged.keep(docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mark, ident = unused("marked", docs), F.col("doc_id")
+    again = staged.keep(again.select("doc_id", F.lit(True).alias(mark)), "again")
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    if not again.isEmpty():
+        marked = lookup(docs, again, "doc_id")
+        rest = F.struct(*[c for c, name in zip(plain, docs.columns, strict=True) if name not in ("doc_id", "text")], F.lit(0).alias(mark))
+        one = marked.where(F.col(mark)).groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("rest"))
+        one = one.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns])
+        docs = staged.keep(marked.where(F.col(mark).isNull()).select(*plain).unionByName(one), "single")
+        ident = F.struct("doc_id", F.xxhash64(text_of()).alias("h"))
+    own = unused("ident", docs)
+    gone = near_duplicates(docs, ident=ident).where("id <> group")
+    gone = staged.keep(gone.select(F.col("id").alias(own), F.lit(True).alias(mark)), "gone")
+    return lookup(docs.withColumn(own, ident), gone, own).where(F.col(mark).isNull()).select(*plain)
