@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 
-ALNUM = np.zeros(1 << 16, bool)
-ALNUM[[i for i in range(1 << 16) if chr(i).isalnum()]] = True
-ALPHA = np.zeros(1 << 16, bool)
-ALPHA[[i for i in range(1 << 16) if chr(i).isalpha()]] = True
+CODES = sys.maxunicode + 1
+ALNUM = np.fromiter((chr(i).isalnum() for i in range(CODES)), bool, CODES)
+ALPHA = np.fromiter((chr(i).isalpha() for i in range(CODES)), bool, CODES)
 
 
 def codes(texts: list[str], letters: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
@@ -18,7 +18,7 @@ def codes(texts: list[str], letters: np.ndarray = ALNUM) -> tuple[np.ndarray, np
     low = [t.lower() for t in texts]
     every = np.frombuffer(("\0\0" + "\0\0".join(low) + "\0\0").encode("utf-32-le", "replace"), np.uint32)
     starts = np.cumsum([2] + [len(t) + 2 for t in low[:-1]]) if low else np.zeros(0, np.int64)
-    return np.where(letters[np.minimum(every, 0xFFFF)] & (every < 0xFFFF), every, 0), starts
+    return np.where(letters[every], every, 0), starts
 
 
 def word_index(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
