@@ -76,6 +76,42 @@ def test_pages_by_hand():
     assert extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+NAMED = {
+    '<p>The <span class="search">query</span> ran.</p><p id="share-of-gdp">x</p>': "The query ran.\nx",
+    '<article><p>a <span class="ad">b</span></p><p id="share-of-gdp">c</p><div id="share-of-gdp">d</div><div class="shareButtons">no</div><p class="advert">no</p></article>': "a b\nc\nd",
+    '<article>x</article><div class="replies"><article><p>reply</p></article></div>': "x",
+    '<article>x<section id="user-comments"><article>reply</article></section></article>': "x",
+    '<aside><article>teaser</article></aside><article><header><h1>T</h1></header><p>b</p></article><section class="related-posts"><article>q</article></section>': "T\nb",
+    '<div class="sidebar"><article>only</article></div>': "only", "<p>x<wbr>y a<img src=z>b</p>": "xy ab", "<h1>Beside</h1><article>in</article>": "in",
+    '<body class="has-comments"><div class="site-header">h</div><div class="main-nav">m</div><div class="main-content"><p>c</p></div></body>': "c",
+}
+
+
+def test_names_of_holders_not_of_prose():
+    for html, want in NAMED.items():
+        assert extract.main_text(html) == want, html
+
+
+def test_query_gives_every_page(spark, tmp_path):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for i in range(120):
+        body = [" ".join(word(rng) for _ in range(rng.randrange(8, 30))) for _ in range(rng.choice([0, 1, 4, 200]))]
+        host = rng.choice(["a.org", "a.org", "a.org", "B.org", None])
+        menu = "<div><ul><li>Home</li><li>About</li></ul></div>" if host else ""
+        parts = "".join(f"<p>{b.replace('e', '&#101;')} </p>\n" for b in body)
+        rows.append((i, host and f"http://{host}/{i}", f"<html><body>{menu}<div>{parts}</div><footer>f</footer></body></html>"))
+        want[i] = "\n".join(body)
+    rows += [(500, None, None), (501, "http://a.org/", ""), (502, None, "<p>no host")]
+    want |= {500: "", 501: "", 502: "no host"}
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for most in (extract.BROADCAST_DIGESTS, -1):
+        with pytest.MonkeyPatch.context() as mp:
+            mp.setattr(extract, "BROADCAST_DIGESTS", most)
+            got = extract.op4_extract(spark, str(tmp_path)).collect()
+        assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows)
+
+
 def test_site_templates_go_and_articles_stay(spark):
     banner = "<div><p>Welcome to our site</p><p>Call us</p></div>"
     rows = [(i, "http://Host.org/p", f"<body>{banner}<div><p>text {i}</p></div></body>") for i in range(20)]
