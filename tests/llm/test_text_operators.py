@@ -144,20 +144,58 @@ def test_license_phrases_and_notices(spark):
     assert licenses.license_scan(documents(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_containment_join_finds_what_brute_force_finds():
+def test_notices_of_a_family_and_wrapped_ones(spark):
+    work = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gpl = next(n[1] for n in licenses.NOTICES if n[0] == "gpl" and n[1].startswith("This program"))
+    lgpl = next(n[1] for n in licenses.NOTICES if n[0] == "lgpl")
+    cases = {
+        work.format(""): "cc-by", work.format("-NonCommercial"): "cc-by-nc", work.format("-ShareAlike").replace(" ", "\n"): "cc-by-sa", gpl: "gpl", "x " * 300 + lgpl: "gpl,lgpl",
+        "Licensed under\nCC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under the X License, Version 2.0.": "",
+        "This is free and\nunencumbered software released\ninto the public domain.": "unlicense", gpl + " word" * 400 + " " + lgpl.replace("General Public License", "Public General Licence"): "gpl,lgpl",
+    }
+    got = licenses.license_scan(documents(spark, list(cases))).orderBy("doc_id").select("license.labels").collect()
+    assert [r.labels for r in got] == list(cases.values())
+
+
+def test_containment_join_finds_what_brute_force_finds(spark, tmp_path):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
-    notices = [(f"n{k}", " ".join(rng.sample(vocabulary, rng.choice([4, 8, 15])))) for k in range(12)]
-    m = licenses.Matcher({w.encode(): rng.randrange(50) for w in vocabulary}, notices, 0.8)
-    for _ in range(400):
-        block = [w.encode() for w in rng.choices(vocabulary, k=rng.randrange(1, 16))]
-        n = rng.choice(m.notices)
+    notices = [(f"n{k:02}", " ".join(rng.sample(vocabulary, rng.choice([4, 8, 15]))), "") for k in range(12)]
+    texts = []
+    for _ in range(250):
+        t = rng.choices(vocabulary + ["other"] * 30, k=rng.choice([0, 3, 12, 60]))
+        own = rng.choice(notices)[1].split()
         if rng.random() < 0.6:
-            block = list(n.ranked)[: n.need] + block[:3]
-            rng.shuffle(block)
-        want = {x.label: max(len(set(b) & set(x.ranked)) / len(x.ranked) for b in m.blocks(block, x)) for x in m.notices if any(len(set(b) & set(x.ranked)) >= x.need for b in m.blocks(block, x))}
-        got = m.match([block])
-        assert got == pytest.approx(want)
+            own = [w for w in own if rng.random() < 0.9] + rng.choices(["other"], k=rng.randrange(3))
+            rng.shuffle(own)
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = own
+        texts.append(rng.choice([" ", "\n", ", "]).join(t))
+    texts += ["mit License " * 3, None, "", texts[0], "general public license GNU general public  license"]
+
+    def slow(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        labels, best = set(), 0.0
+        for label, notice, _ in notices:
+            n = set(notice.split())
+            need = len(n) if len(n) < licenses.SHORT else -(-8 * len(n) // 10)
+            size = licenses.WINDOW * len(notice.split())
+            most = max((len(n & set(w[i : i + size])) for i in range(max(1, len(w) - size + 1))), default=0)
+            if most >= need:
+                labels.add(label)
+                best = max(best, most / len(n))
+        at = [(i, k) for i in range(len(w)) for p, k in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) if w[i : i + len(p.split())] == p.split()]
+        base = sorted({k for _, k in at})
+        starts = [i for i, _ in at]
+        return (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(labels | set(base))), max(best, 1.0 if base else 0.0))
+
+    docs = documents(spark, texts).withColumn("text_key", F.lit("clash"))
+    got = licenses.license_scan(docs, notices).orderBy("doc_id").select("doc_id", "text_key", "license.*").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert (tuple(r)[2:-1], round(r.score, 9)) == (slow(t)[:-1], round(slow(t)[-1], 9)), t
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in licenses.op6_licenses(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts) and all(tuple(out[i])[1:6] == slow(t)[:5] for i, t in enumerate(texts))
 
 
 # --- languages ---
