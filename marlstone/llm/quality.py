@@ -1,9 +1,10 @@
 """Quality classifier: document evidence combined with host and path-level posteriors by empirical Bayes.
 
-A logistic model reads a few traits of a text.  Its probabilities are summed for each path (a site's section)
-and each host by grouped aggregation over all documents.  A host's rate is shrunk toward the global rate,
-and a path's toward its host's, by beta priors whose strengths are estimated from the spread of the rates;
-sparse sites stay near the prior.  A document's log-odds are its own evidence plus its path's shrunk log-odds.
+A logistic model reads a few traits of a text.  Its probabilities, or the labels where a document of the training
+folds has one, are summed for each path (a site's section) and each host by grouped aggregation over all documents.
+A host's rate is shrunk toward the global rate, and a path's toward its host's, by beta priors whose strengths are
+estimated from the spread of the rates; sparse sites stay near the prior.  A document's log-odds are its own evidence
+plus the shrunk log-odds of its path, in which the document itself doesn't count.
 """
 
 from __future__ import annotations
@@ -92,14 +93,21 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
     return Evidence(mean, scale, w)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Traits and labels of at most MOST_LABELLED rows of each label outside the held-out fold."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labelled ids outside the held-out fold; of an id's labels the greatest counts."""
     of = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    of = of.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return of.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Traits and labels of at most MOST_LABELLED rows of each label outside the held-out fold. Of an id's texts the
+    least counts."""
+    of = training_labels(labels)
     order = F.xxhash64("doc_id", F.lit("quality"))
     ids = [of.where(c).orderBy(order, "doc_id").limit(MOST_LABELLED) for c in ("quality = 1", "quality = 0")]
-    rows = docs.select("doc_id", traits_udf()(text_of()).alias("x")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    rows = rows.select("doc_id", "x", "quality").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "quality", traits_udf()("text").alias("x")).orderBy("doc_id").collect()
     return np.array([r.x for r in rows]).reshape(-1, len(TRAITS)), np.array([r.quality for r in rows])
 
 
@@ -144,38 +152,47 @@ def strength(rows: DataFrame, rate: Column, around: Column) -> float:
     return float(np.clip(r.whole / beyond - 1, LEAST_STRENGTH, MOST_STRENGTH))
 
 
-def scored(docs: DataFrame, model: Evidence) -> DataFrame:
+def scored(docs: DataFrame, model: Evidence, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, score) of every row of ``docs``.
 
-    Null and empty texts have the evidence of no words; a null source is one host, a null language one path.
-    Repeated rows count each time. An empty table gives an empty result.
+    The rates are those of a document's site without the document itself. ``labels`` (doc_id, quality) are
+    :func:`training_labels`. Null and empty texts have the evidence of no words; a null source is one host, a null
+    language one path. Repeated rows count each time, and so do equal texts; equal scores are possible and left so.
+    A row without an id has no label. An empty table gives an empty result; other columns are left out.
     """
     staged = Staged(docs.sparkSession, "quality")
     host, path = site_columns(F.col("source"), F.col("lang"))
-    own = staged.keep(docs.select("doc_id", host.alias("host"), path.alias("path"), evidence_udf(model)(text_of()).alias("evidence")), "evidence")
+    own = docs.select("doc_id", host.alias("host"), path.alias("path"), evidence_udf(model)(text_of()).alias("evidence"))
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = staged.keep(own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")), "paths")
+    if labels is None:
+        own = own.withColumn("good", p)
+    else:
+        known = staged.keep(labels.select("doc_id", "quality"), "labels")
+        own = lookup(staged.keep(own, "unlabelled"), known, "doc_id").withColumn("good", F.coalesce(F.col("quality").cast("double"), p)).drop("quality")
+    own = staged.keep(own, "evidence")
+    paths = staged.keep(own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("s")), "paths")
     hosts = staged.keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     totals = hosts.agg(F.sum("n"), F.sum("s")).first()
     overall = float(np.clip(totals[1] / totals[0], 1e-4, 1 - 1e-4)) if totals[0] else 0.5
     shrunk = lambda s, n, around, by: (s + around * by) / (n + F.lit(by))
     by_host = strength(hosts, F.col("s") / F.col("n"), F.lit(overall))
-    hosts = hosts.select("host", shrunk(F.col("s"), F.col("n"), F.lit(overall), by_host).alias("host_rate"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     paths = staged.keep(paths.join(hosts, "host"), "with_hosts")
-    by_path = strength(paths, F.col("s") / F.col("n"), F.col("host_rate"))
-    odds = lambda c: F.log(c / (1 - c))
-    paths = paths.withColumn("path_rate", shrunk(F.col("s"), F.col("n"), F.col("host_rate"), by_path))
+    by_path = strength(paths, F.col("s") / F.col("n"), shrunk(F.col("host_s"), F.col("host_n"), F.lit(overall), by_host))
+    sites = staged.keep(paths.select(F.concat_ws("\x1f", "host", "path").alias("site"), "n", "s", "host_n", "host_s"), "sites")
+    out = lookup(own.withColumn("site", F.concat_ws("\x1f", "host", "path")), sites, "site")
+    less = lambda c, by: F.greatest(F.col(c) - by, F.lit(0))
+    out = out.withColumn("host_rate", shrunk(less("host_s", F.col("good")), less("host_n", 1), F.lit(overall), by_host))
+    out = out.withColumn("path_rate", shrunk(less("s", F.col("good")), less("n", 1), F.col("host_rate"), by_path))
     bounded = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), F.col("path_rate")))
-    sites = staged.keep(
-        paths.select(F.concat_ws("\x1f", "host", "path").alias("_site"), "host_rate", "path_rate", (odds(bounded) - F.lit(float(np.log(overall / (1 - overall))))).alias("_shift")), "sites"
-    )
-    out = lookup(own.withColumn("_site", F.concat_ws("\x1f", "host", "path")), sites, "_site")
-    score = 1 / (1 + F.exp(-(F.col("evidence") + F.col("_shift"))))
+    shift = F.log(bounded / (1 - bounded)) - F.lit(float(np.log(overall / (1 - overall))))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + shift)))
+    staged.only(own, sites)
     return out.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", score.alias("score"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence, shrunk site rates, score and decision for every document."""
-    docs = table(spark, sf_dir, "documents")
-    model = train(*labelled_sample(docs, table(spark, sf_dir, "labels")))
-    return scored(docs, model).select("*", (fold(F.col("doc_id")) == 0).alias("held_out"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """Evidence, shrunk site rates, score and decision for every document; held_out is null without an id."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(*labelled_sample(docs, labels))
+    return scored(docs, model, training_labels(labels)).select("*", (fold(F.col("doc_id")) == 0).alias("held_out"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
