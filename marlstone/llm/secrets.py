@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table, text_of
+from marlstone.llm.common import table, text_of, unused
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,7 +171,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame, text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
     """``docs`` with ``secrets``: an array of (start, end, kind) structs over the whole text.
 
-    A null or empty text has an empty array; rows, repeated ones too, and further columns stay as they
+    Equal scores of stretches go to the first. A null or empty text has an empty array; rows, repeated ones too, and further columns stay as they
     are (a column named ``secrets`` is replaced).
     """
     model = model or train()
@@ -186,7 +186,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", model: MarkovPair | No
 def redacted(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by ``<secret>`` and n_chars counted anew.
 
-    Overlapping spans become one; a text without secrets, a null one too, stays as it is.
+    Overlapping spans become one; a text without secrets, a null or empty one too, stays as it is. Every row stays,
+    repeated ones and those without an id too, with the columns it has, whatever they are called.
     """
     model = model or train()
 
@@ -194,12 +195,13 @@ def redacted(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else redact(t, model) for t in texts], dtype=object)
 
-    out = docs.withColumn("_clean", run(F.col("text")))
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
+    clean = unused("clean", docs)
+    out = docs.withColumn(clean, run(F.col("text")))
+    changed = ~F.col(clean).eqNullSafe(F.col("text"))
     return out.select(*[
-        F.col("_clean").alias(c) if c == "text"
-        else F.when(changed, F.length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c)
+        F.col(clean).alias(c) if c.lower() == "text"
+        else F.when(changed, F.length(clean).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c.lower() == "n_chars"
+        else F.col(f"`{c}`")
         for c in docs.columns
     ])
 
