@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.llm.common import BROADCAST_ROWS, Staged, lookup, table, text_of
+from marlstone.llm.common import BROADCAST_ROWS, Staged, lookup, table, text_of, unused
 
 MARGINS = ("source", "lang", "topic")
 #: A margin's target shares go with its token shares to this power: 1 leaves them, 0 makes them equal.
@@ -46,11 +46,11 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with _source, _lang, _topic (null source and language as one value) and _tokens."""
+def features() -> Column:
+    """(source, lang, topic, tokens) of a document; null source and language as one value."""
     text = text_of()
-    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    return docs.withColumns({"_source": none("source"), "_lang": none("lang"), "_topic": topic_of(text), "_tokens": tokens_of(text)})
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c)
+    return F.struct(none("source"), none("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
 
 
 def _targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -68,7 +68,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, temperatures: dict[str, float]
     ``targets`` can give (margin, target_<margin>) tables; otherwise they follow from the temperatures. A
     margin value without a target gets none of the weight. The cells are raked in one partition if they are
     few (their number is read first), else each margin's sums are shuffled and joined back, which takes any
-    number of cells.
+    number of cells. After the rounds the last margin is met exactly and the others up to :func:`residual`.
     """
     staged = staged or Staged(cells.sparkSession, "rake")
     temperatures = temperatures or TEMPERATURES
@@ -121,36 +121,44 @@ def probabilities(cells: DataFrame, budget: float = BUDGET, rounds: int = SCALE_
     return cells.withColumns({"weight": rate, "prob": F.when(F.col("tokens") > 0, F.least(F.lit(1.0), rate * F.lit(scale))).otherwise(1.0)})
 
 
-def _probable_cells(spark: SparkSession, tagged: DataFrame, budget: float) -> DataFrame:
-    staged = Staged(spark, "mixing")
-    cells = tagged.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(
-        F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    return staged.keep(probabilities(rake(staged.keep(cells, "counts"), staged=staged), budget), "probable")
+def residual(raked: DataFrame) -> float:
+    """The greatest difference of a margin's raked share from its target; 0 of no cells."""
+    worst = 0.0
+    for m in MARGINS:
+        sums = raked.groupBy(m).agg(F.sum("share").alias("share"), F.first(f"target_{m}").alias("target"))
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0] or 0.0)
+    return worst
+
+
+def _with_weights(tagged: DataFrame, mix: str, budget: float, staged: Staged) -> DataFrame:
+    """``tagged`` (its cell in the column ``mix``) with weight, prob and sampled."""
+    cells = tagged.select(f"{mix}.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    cells = staged.keep(probabilities(rake(staged.keep(cells, "counts"), staged=staged), budget), "probable")
+    key = unused("cell", tagged)
+    name = lambda c: F.concat_ws("\x1f", *[F.col(c(m)) for m in MARGINS]).alias(key)
+    by_cell = staged.keep(cells.select(name(lambda m: m), "weight", "prob"), "by_cell")
+    plain = [F.col(f"`{c}`") for c in tagged.columns]
+    out = lookup(tagged.select(*plain, name(lambda m: f"`{mix}`.{m}")), by_cell, key)
+    return out.select(*plain, "weight", "prob", (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, weight, prob, and sampled (whether it is drawn).
+    """``docs`` with mix (its source, lang, topic and tokens), weight, prob, and sampled (whether it is drawn).
 
     The draw depends on doc_id alone: repeated rows are drawn together, null ids all alike. Null texts are
-    empty, null sources and languages one value each. An empty table gives an empty result; other columns stay.
+    empty, null sources and languages one value each. An empty table gives an empty result; other columns stay, and
+    those of the names of the new ones are replaced.
     """
-    own = ("weight", "prob", "sampled")
-    tagged = features(docs.drop(*own))
-    cells = _probable_cells(docs.sparkSession, tagged, budget).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "prob")
-    key = F.concat_ws("\x1f", *[f"_{m}" for m in MARGINS])
-    staged = Staged(docs.sparkSession, "mixed")
-    by_key = staged.keep(cells.select(key.alias("_cell"), "weight", "prob"), "by_cell")
-    return lookup(tagged.withColumn("_cell", key), by_key, "_cell").drop("_cell").withColumn("sampled", draw(F.col("doc_id")) < F.col("prob"))
+    rest = docs.drop("mix", "weight", "prob", "sampled")
+    return _with_weights(rest.withColumn("mix", features()), "mix", budget, Staged(docs.sparkSession, "mixing"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell, weight, probability and draw of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = mixed(docs)
-    return out.select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
-        F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled",
-    )
+    """Cell, weight, probability and draw of every document. Texts are read once, for the staged cells."""
+    staged = Staged(spark, "mixing")
+    tagged = staged.keep(table(spark, sf_dir, "documents").select("doc_id", features().alias("mix")), "tagged")
+    out = _with_weights(tagged, "mix", BUDGET, staged)
+    return out.select("doc_id", "mix.*", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
 
 
 def _oracle() -> str:

@@ -1,5 +1,6 @@
 """Decontamination, extraction, mixing, media and the pipeline."""
 
+import os
 import random
 
 import numpy as np
@@ -147,16 +148,33 @@ def test_raking_meets_the_margins(spark):
             got = {(r.source, r.lang, r.topic): r.share for r in raked.collect()}
         if most:
             assert np.allclose([got[c[:3]] for c in cells], share)
+            assert mixing.residual(raked) < 1e-6
             p = mixing.probabilities(raked, 0.5)
             r = p.agg(F.sum(F.col("prob") * F.col("tokens")), F.sum("tokens"), F.max("prob")).first()
             assert r[0] == pytest.approx(0.5 * r[1], rel=1e-6) and r[2] <= 1
         assert sum(got.values()) == pytest.approx(1)
 
 
+def test_query_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = c.execute(registry.oracle_sql()["op5_mixing"])
+    names = [d[0] for d in rows.description]
+    want = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows.fetchall())
+    got = registry.queries()["op5_mixing"](spark, sf).select(*names).collect()
+    assert sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in got) == want
+
+
 def test_mixing_on_odd_rows(spark):
     docs = spark.createDataFrame([(i, "a b c | d" if i % 2 else "x", "en" if i % 3 else None, "s" if i % 5 else None, 1) for i in range(60)] + [(None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0)], DOCS)
-    got = mixing.mixed(docs.withColumn("weight", F.lit("clash"))).collect()
-    assert len(got) == 63 and all(0 <= r.prob <= 1 for r in got) and {r._source for r in got} == {"s", "(none)"}
+    clash = docs.selectExpr("*", "'clash' AS weight", "1 AS _topic", "2 AS cell", "3 AS tokens")
+    got = mixing.mixed(clash).collect()
+    assert len(got) == 63 and all(0 <= r.prob <= 1 for r in got) and {r.mix.source for r in got} == {"s", "(none)"}
+    assert all((r._topic, r.cell, r.tokens) == (1, 2, 3) and r.weight != "clash" for r in got)
     assert mixing.mixed(docs.limit(0)).count() == 0
     plan = mixing.mixed(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
