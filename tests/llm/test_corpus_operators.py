@@ -181,21 +181,44 @@ def test_mixing_on_odd_rows(spark):
 
 
 # --- media ---
-def test_recordings_align_and_noise_differs(spark):
+def slow_matches(prints, asked):
+    """Every pair at every offset."""
+    out = {}
+    for q in asked:
+        a = prints[q]
+        for m, b in prints.items():
+            if m != q and len(a) and len(b):
+                e = min((media.bit_error(a, b, o), o) for o in range(-len(b) + 1, len(a)))
+                if e[0] <= media.MOST_ERROR:
+                    out.setdefault(q, []).append((e[0], m, e[1]))
+    return out
+
+
+@pytest.mark.parametrize("popular", [media.POPULAR, 2])
+def test_alignments_are_those_of_all_offsets(spark, popular):
     rng = np.random.default_rng(4)
-    vectors = rng.normal(size=(40, 64))
-    prints = [media.fingerprint(media.render(v)[0]) for v in vectors]
-    q = media.Queries(list(range(10)), prints[:10])
-    for i, p in enumerate(prints):
-        assert [m[0] for m in q.matches(p)] == ([i] if i < 10 else [])
-    sound = media.render(vectors[3])[0]
-    assert q.matches(media.fingerprint(sound[media.HOP * 12 :])) == [(3, 12, 0.0)]
-    louder = media.fingerprint(sound * 3 + rng.normal(0, 0.01, len(sound)))
-    assert q.matches(louder)[0][0] == 3
-    near = [media.fingerprint(media.render(v + rng.normal(0, 0.02, 64))[0]) for v in vectors[:10]]
-    brute = {(i, j) for j, p in enumerate(near) for i in range(10) if min(media.bit_error(prints[i], p, o) for o in range(-3, 4)) <= media.MOST_ERROR}
-    found = {(m[0], j) for j, p in enumerate(near) for m in q.matches(p)}
-    assert len(found & brute) >= 0.9 * len(brute)
+    vectors = rng.normal(size=(30, 48))
+    sounds = {100 * (i + 1): media.render(v)[0] for i, v in enumerate(vectors)}
+    silence = np.zeros(media.HOP * 100, np.float32)
+    for i, v in enumerate(vectors[:12]):
+        own = media.render(v + rng.normal(0, 0.01, 48))[0]
+        sounds[1 + i] = own
+        sounds[20 + i] = sounds[100 * (i + 1)][media.HOP * (3 + i) :] * 2 + rng.normal(0, 0.005, len(own) - media.HOP * (3 + i))
+        sounds[40 + i] = np.concatenate([silence, own])
+        sounds[1000 * (i + 4) + 100] = np.concatenate([sounds[100 * (i + 1)], silence])
+    prints = {p.tobytes(): (k, p) for k, p in sorted(((k, media.fingerprint(x)) for k, x in sounds.items()), key=lambda x: -x[0])}
+    prints = dict(prints.values())  # equal ones are one class
+    want = slow_matches(prints, [k for k in prints if k % 100 == 0])
+    df = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in prints.items()], "id long, print binary")
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(media, "POPULAR", popular)
+        got = {r.id: r for r in media.aligned(df, F.col("id") % 100 == 0, Staged(spark, "t")).collect()}
+    assert sum(map(len, want.values())) > 60
+    assert sum(r.n_matches for r in got.values()) >= (0.97 if popular > 2 else 0.9) * sum(map(len, want.values()))
+    for k, r in got.items():
+        assert r.n_matches <= len(want.get(k, []))
+        if r.n_matches == len(want.get(k, [])) and r.n_matches:
+            assert (round(r.best_error, 9), r.best_match) == min((round(e, 9), m) for e, m, _ in want[k])
 
 
 def test_media_classes_and_odd_rows(spark):
