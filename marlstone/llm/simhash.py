@@ -159,8 +159,9 @@ SIGNATURE = 4  # 64-bit words of the signature that filters candidates
 #: Texts are near-duplicates from this Jaccard similarity of their sets of shingles (as a fraction, for exact sums).
 NEAR_NUM, NEAR_DEN = 4, 5
 #: Of 256 bits. Sets with a Jaccard similarity of 0.8 differ in 39 on average (the angle of two sets with that
-#: overlap), with a deviation of six, so this loose filter is seven deviations off; sets of under FEW shingles skip it.
-LOOSE_BITS, FEW = 82, 64
+#: overlap), with a deviation of six, and those of five shingles and four of them in 48, so this loose filter is six
+#: deviations off, and for the smallest sets four and a half.
+LOOSE_BITS = 76
 #: Bands of so many minima each: a pair of a similarity of 0.8 shares no band once in 38 000 times.
 BANDS, ROWS = 20, 4
 #: Bands that more unlinked texts share are taken two at a time, which brings together no pair less than all but one in
@@ -250,10 +251,9 @@ def verified_pairs(staged: Staged, texts: DataFrame, pairs: DataFrame, k: int =
 
 
 def likely(nx, ny, sx, sy):
-    """What a pair of a similarity of 0.8 fulfils: sizes exactly, signatures but for seven deviations."""
+    """What a pair of a similarity of 0.8 fulfils: sizes exactly, signatures but for some deviations."""
     distance = sum((F.bit_count(sx[i].bitwiseXOR(sy[i])) for i in range(SIGNATURE)), F.lit(0))
-    sizes = NEAR_DEN * F.least(nx, ny) >= NEAR_NUM * F.greatest(nx, ny)
-    return sizes & ((F.least(nx, ny) < FEW) | (distance <= LOOSE_BITS))
+    return (NEAR_DEN * F.least(nx, ny) >= NEAR_NUM * F.greatest(nx, ny)) & (distance <= LOOSE_BITS)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) -> DataFrame:
@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
 
     Equal texts (letter case and white space aside) are grouped first, under their least id.  The rest are indexed
     by bands of minima of their shingle hashes.  Each text is first compared with the least id of each of its bands;
-    then all pairs that share a band and aren't linked yet are compared, those of popular bands if they share two.
+    then all pairs that share a band and aren't linked yet are compared, those of popular bands if they share two, but for
+    those that what no other of them has keeps apart: of a large group of copies, most texts that differ too much do so.
     Candidates that sizes and signatures allow are verified by the exact similarity of their shingle sets, and verified
     links are closed over.  Rows with a null doc_id take no part.
     """
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     # equal copies hang on their least alone, so they take no part in the search for components
     linked = verified_pairs(staged, texts, _likely(staged, star, light), k)
     roots = staged.keep(components(staged, linked), "first_roots")
-    pairs = _unlinked_pairs(staged, shared, roots, light)
+    pairs = _unlinked_pairs(staged, texts, shared, roots, light, k)
     more = verified_pairs(staged, texts, pairs, k)
     roots = staged.keep(components(staged, linked.unionByName(more)), "roots")
     groups = roots.select(F.col("node").alias("id"), F.col("root").alias("group"))
@@ -302,26 +303,41 @@ def _likely(staged: Staged, pairs: DataFrame, light: DataFrame) -> DataFrame:
     return staged.keep(pairs.where(likely(*map(F.col, ("nx", "ny", "sx", "sy")))).select("x", "y"), "likely")
 
 
-def _unlinked_pairs(staged: Staged, shared: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
-    """The pairs (x, y) that share a band but no root and that sizes and signatures allow."""
+def _unlinked_pairs(staged: Staged, texts: DataFrame, shared: DataFrame, roots: DataFrame, light: DataFrame, k: int) -> DataFrame:
+    """The pairs (x, y) that share a band but no root and that sizes, signatures and own shingles allow."""
     rooted = shared.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rooted = rooted.select("id", "key", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
-    several = several.where("r1 <> r2").select("key", (F.col("n") > PAIRED).alias("popular"))
-    rows = staged.keep(rooted.join(several, "key").join(light, "id"), "open")
+    rooted = staged.keep(rooted.select("id", "key", F.coalesce("root", "id").alias("root")), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    some = staged.keep(rooted.join(several, "key"), "several")
+    # shingles that a single one of these texts has are in no intersection of two; what they leave of a text has to be
+    # 0.8 of it at least, as its union with another is no smaller
+    asked = staged.keep(some.select("id").distinct(), "asked")
+    grams = texts.join(asked, "id", "left_semi").select("id", F.explode(sets_udf(k)("text")).alias("h"))
+    single = grams.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    single = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    met = light.join(asked, "id", "left_semi").join(single, "id", "left").withColumn("met", F.col("size") - F.coalesce("own", F.lit(0)))
+    met = staged.keep(met.where(NEAR_DEN * F.col("met") >= NEAR_NUM * F.col("size")).select("id", "size", "sig", "met"), "met")
+    some = some.join(met, "id")
+    counts = some.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
+    counts = counts.where("r1 <> r2").select("key", (F.col("n") > PAIRED).alias("popular"))
+    rows = staged.keep(some.join(counts, "key"), "open")
     # two bands at a time: a pair that shares one that is not popular is found there
-    popular = rows.where("popular").groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"), *[F.first(c).alias(c) for c in ("root", "size", "sig")])
+    popular = rows.where("popular").groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"), *[F.first(c).alias(c) for c in _SIDE[1:]])
     later = lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))
-    twos = popular.select("id", "root", "size", "sig", F.explode(F.flatten(F.transform("keys", later))).alias("key"))
-    every = rows.where("not popular").select("id", "root", "size", "sig", "key").unionByName(twos)
+    twos = popular.select(*_SIDE, F.explode(F.flatten(F.transform("keys", later))).alias("key"))
+    every = rows.where("not popular").select(*_SIDE, "key").unionByName(twos)
     found = every.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     every = staged.keep(every.join(found, "key"), "every")
-    a = every.select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "root", "size", "sig")])
-    b = every.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "sig")])
-    pairs = a.join(b, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & likely(*map(F.col, ("size1", "size2", "sig1", "sig2"))))
+    a, b = (every.select("key", *[F.col(c).alias(f"{c}{i}") for c in _SIDE]) for i in (1, 2))
+    overlap = (NEAR_NUM + NEAR_DEN) * F.least("met1", "met2") >= NEAR_NUM * (F.col("size1") + F.col("size2"))
+    near = overlap & likely(*map(F.col, ("size1", "size2", "sig1", "sig2")))
+    pairs = a.join(b, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & near)
     return staged.keep(pairs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct(), "pairs")
 
 
+_SIDE = ("id", "root", "size", "sig", "met")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the least doc_id.
 
