@@ -1,12 +1,13 @@
 """Alert rules: evaluation queries, the state machine, suppression, and notification budgets.
 
-Rules of one shape (signal, window, filter) share a query; the state machine is one pure function, folded over
-evaluations in order by the batch replay and by the stream.
+Rules of one shape (table, window, resources, filter, groups) share one scan and one aggregation, whatever they compute
+and compare; the state machine is one pure function, folded over evaluations in order by the batch replay and by the
+stream.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.lower import compiles
+from marlstone.plans import planner
 from marlstone.plans.ast import Aggregation, Field, Query, TimeRange
 from marlstone.plans.errors import Invalid
 
 VALUE = "value"
+#: A rule that has as many series is told to be grouped too finely; none of them is left out.
 MAX_SERIES = 10_000
 LEAST_WINDOW = timedelta(minutes=1)
 EPSILON = 2.220446049250313e-16
@@ -85,39 +88,89 @@ class Rule:
     condition: Condition
 
 
+@dataclass
+class Shape:
+    """Rules that are read off one query: what each computes is one of its aggregations."""
+
+    query: Query
+    absence: bool
+    aggregations: list[Aggregation] = field(default_factory=list)
+    rules: list[tuple[int, Rule]] = field(default_factory=list)
+
+    def add(self, rule: Rule, a: Aggregation) -> None:
+        a = replace(a, alias="")
+        if a not in self.aggregations:
+            self.aggregations.append(a)
+        self.rules.append((self.aggregations.index(a), rule))
+
+    @property
+    def whole(self) -> Query:
+        return replace(self.query, aggregations=tuple(replace(a, alias=f"v{i}") for i, a in enumerate(self.aggregations)))
+
+
+def shapes(rules: list[Rule], now: datetime) -> list[Shape]:
+    """Rules by what their evaluation reads, in the order in which shapes come up."""
+    found: dict[tuple, Shape] = {}
+    for r in rules:
+        q, absence = evaluation_query(r.query, r.condition, now), r.condition.kind == "absence"
+        key = (planner.plan(q, absence)[0].table, q.signal, q.time, q.resources, q.filter, q.group_by, absence)
+        found.setdefault(key, Shape(q, absence)).add(r, q.aggregations[0])
+    return list(found.values())
+
+
 def evaluate(engine, scope, rules: list[Rule], now: datetime, quiet: DataFrame | None = None) -> DataFrame:
     """Readings of all rules as one table: (rule_id, resource_id, dedup_key, value, breaching, hold_seconds,
     suppressed, muted), for :func:`advance`.
 
-    Each rule is one branch of a union, so a cycle is one job. Absence reads base tables, whatever its window, as
-    rollups keep no times. ``quiet`` are :func:`suppressions`.
+    Each :class:`Shape` of rules is one branch of a union, which is joined with the rules once; a selector is resolved
+    once. Every series counts, whatever their number; :func:`outcomes` tells which rules have too many. Absence reads base
+    tables, whatever its window, as rollups keep no times. ``quiet`` are :func:`suppressions`.
     """
     from marlstone.operators.resolve import resolve
 
-    parts = []
-    for r in rules:
-        q = evaluation_query(r.query, r.condition, now)
-        got = engine.query(q, scope, base=r.condition.kind == "absence").df
-        if r.condition.kind == "absence":
-            ids = resolve(q.resources, scope, engine.catalog).ids
-            if ids is None:
-                raise Invalid("absence needs named resources: the whole tenant has no fixed set")
-            expected = ids if isinstance(ids, DataFrame) else got.sparkSession.createDataFrame([(i,) for i in ids], "resource_id string")
-            reading = read_absence(got, r.rule_id, now, expected, r.condition.after_seconds)
-        else:
-            reading = read_threshold(got, r.rule_id, [f.label for f in q.group_by[1:]])
-        parts.append(reading.select("rule_id", "resource_id", "dedup_key", "value", breached(r.condition, F.col("value")).alias("breaching"), F.lit(float(r.condition.hold)).alias("hold_seconds")))
-    if not parts:
+    if not rules:
         raise Invalid("no rules")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out, table, resolved = None, [], {}
+    for i, shape in enumerate(shapes(rules, now)):
+        selector = shape.query.resources
+        if selector not in resolved:
+            resolved[selector] = resolve(selector, scope, engine.catalog)
+        ids = resolved[selector].ids
+        if shape.absence and ids is None:
+            raise Invalid("absence needs named resources: the whole tenant has no fixed set")
+        got = engine.query(shape.whole, scope, base=shape.absence, whole=True, ids=resolved[selector]).df
+        table += [(i, a, r.rule_id, r.condition.kind, r.condition.op, float(r.condition.bound), float(r.condition.hold), float(r.condition.after_seconds)) for a, r in shape.rules]
+        if shape.absence:
+            expected = ids if isinstance(ids, DataFrame) else got.sparkSession.createDataFrame([(x,) for x in ids], "resource_id string")
+            own = ages(got.select("g0", F.col("v0").alias(VALUE)), now, expected, shape.rules[0][1].condition.after_seconds)
+            own = own.select("resource_id", _labels([]).alias("labels"), F.lit(0).alias("agg"), VALUE)
+        else:
+            values = F.array(*[F.col(f"v{k}").cast("double") for k in range(len(shape.aggregations))])
+            own = got.select(F.col("g0").alias("resource_id"), _labels([f.label for f in shape.query.group_by[1:]]).alias("labels"), F.posexplode(values).alias("agg", VALUE))
+            own = own.where(F.col(VALUE).isNotNull())
+        own = own.withColumn("shape", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+    # as many rows as there are rules, which are on the driver already
+    known = out.sparkSession.createDataFrame(table, "shape int, agg int, rule_id string, kind string, op string, bound double, hold_seconds double, after double")
+    c = F.col(VALUE)
+    compared = F.when(F.col("kind") == "absence", c > F.col("after"))
+    for op in ("gt", "gte", "lt", "lte", "eq", "ne"):
+        compared = compared.when(F.col("op") == op, holds(op, c, F.col("bound")))
+    out = out.join(F.broadcast(known), ["shape", "agg"]).select(
+        "rule_id", "resource_id", dedup_key(F.col("rule_id"), F.col("resource_id"), F.col("labels")).alias("dedup_key"), VALUE, compared.alias("breaching"), "hold_seconds")
     if quiet is None:
         return out.withColumns({"suppressed": F.lit(False), "muted": F.lit(False)})
     out = out.join(quiet.select("resource_id", F.col("alerts").alias("suppressed"), F.col("notifications").alias("muted")), "resource_id", "left")
     return out.withColumns({"suppressed": F.coalesce("suppressed", F.lit(False)), "muted": F.coalesce("muted", F.lit(False))})
 
 
+def outcomes(readings: DataFrame, most: int = MAX_SERIES) -> DataFrame:
+    """(rule_id, series, breaching, suppressed, truncated) of :func:`evaluate`'s readings: ``truncated`` marks rules with so
+    many series that a reader who takes ``most`` of them would see a part."""
+    return readings.groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("series"), F.count_if("breaching").alias("breaching"), F.count_if("suppressed").alias("suppressed"), (F.count(F.lit(1)) >= most).alias("truncated"))
+
+
 def escape(c: Column) -> Column:
     for x in ("\\", "=", ","):
         c = F.replace(c, F.lit(x), F.lit("\\" + x))
@@ -129,24 +182,34 @@ def dedup_key(rule: Column, resource: Column, labels: Column) -> Column:
     return F.concat_ws("/", rule, resource, F.array_join(F.array_sort(F.transform(labels, lambda x: F.concat_ws("=", escape(x["k"]), escape(x["v"])))), ","))
 
 
+def _labels(names: list[str]) -> Column:
+    """The groups after the first as an array of (k, v); a null reads as the empty text."""
+    if not names:
+        return F.array().cast("array<struct<k:string,v:string>>")
+    return F.array(*[F.struct(F.lit(n).alias("k"), F.coalesce(F.col(f"g{i + 1}").cast("string"), F.lit("")).alias("v")) for i, n in enumerate(names)])
+
+
 def read_threshold(result: DataFrame, rule_id: str, labels: list[str]) -> DataFrame:
     """(rule_id, resource_id, dedup_key, value) of an evaluation's groups g0.. and value; null values say nothing."""
     value = result.columns[-1]
-    pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.coalesce(F.col(f"g{i + 1}").cast("string"), F.lit("")).alias("v")) for i, n in enumerate(labels)])
-    if not labels:
-        pairs = F.array().cast("array<struct<k:string,v:string>>")
     return result.where(F.col(value).isNotNull()).select(
-        F.lit(rule_id).alias("rule_id"), F.col("g0").alias("resource_id"), dedup_key(F.lit(rule_id), F.col("g0"), pairs).alias("dedup_key"), F.col(value).cast("double").alias("value"))
+        F.lit(rule_id).alias("rule_id"), F.col("g0").alias("resource_id"), dedup_key(F.lit(rule_id), F.col("g0"), _labels(labels)).alias("dedup_key"), F.col(value).cast("double").alias("value"))
+
+
+def ages(result: DataFrame, now: datetime, expected: DataFrame, after_seconds: int) -> DataFrame:
+    """(resource_id, value): seconds since each resource was heard (g0 and value, its newest time); of those expected
+    that were not heard in the window, a second more than it is long."""
+    age = F.greatest(F.lit(0), F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(F.col(VALUE))) / F.lit(1000.0)
+    heard = result.where(F.col(VALUE).isNotNull()).select(F.col("g0").alias("resource_id"), age.alias(VALUE))
+    silent = max(float(after_seconds), LEAST_WINDOW.total_seconds()) + 1.0
+    every = expected.select("resource_id").distinct().join(heard, "resource_id", "full")
+    return every.select("resource_id", F.coalesce(VALUE, F.lit(silent)).alias(VALUE))
 
 
 def read_absence(result: DataFrame, rule_id: str, now: datetime, expected: DataFrame, after_seconds: int) -> DataFrame:
-    """The same for absence: seconds since each expected resource was heard; of those not heard in the window, more
-    than it is long."""
-    age = F.greatest(F.lit(0), F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(F.col("value"))) / F.lit(1000.0)
-    heard = result.where("value IS NOT NULL").select(F.col("g0").alias("resource_id"), age.alias("value"))
-    silent = expected.select("resource_id").distinct().join(heard.select("resource_id"), "resource_id", "left_anti").select("resource_id", F.lit(float(after_seconds) + 1.0).alias("value"))
-    key = dedup_key(F.lit(rule_id), F.col("resource_id"), F.array().cast("array<struct<k:string,v:string>>"))
-    return heard.unionByName(silent).select(F.lit(rule_id).alias("rule_id"), "resource_id", key.alias("dedup_key"), "value")
+    """:func:`ages` of a whole evaluation (one without a limit) as readings of a rule."""
+    key = dedup_key(F.lit(rule_id), F.col("resource_id"), _labels([]))
+    return ages(result, now, expected, after_seconds).select(F.lit(rule_id).alias("rule_id"), "resource_id", key.alias("dedup_key"), VALUE)
 
 
 def step(was: str | None, since, breaching: bool, hold_seconds: float, now):

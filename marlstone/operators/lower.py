@@ -48,10 +48,30 @@ class ResultSet:
         """The rows; there are at most as many as the greatest limit."""
         return [tuple(r) for r in self.df.collect()]
 
+    def read(self) -> dict[str, int]:
+        """Rows and bytes that the scans of the last run read, as Spark's own metrics have them."""
+        total = {"rows_read": 0, "bytes_read": 0}
+        todo = [self.df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            elif kind != "ReusedExchangeExec":
+                children = node.children()
+                todo += [children.apply(i) for i in range(children.size())]
+                if not children.size():
+                    for name, key in (("numOutputRows", "rows_read"), ("filesSize", "bytes_read")):
+                        metric = node.metrics().get(name)
+                        total[key] += metric.get().value() if metric.isDefined() else 0
+        return total
+
     def to_json(self) -> dict:
         return {
             "columns": [{"name": n, "type": t} for n, t in self.columns], "rows": [list(r) for r in self.rows()], "table": self.table,
-            "warnings": [x.to_json() for x in self.warnings],
+            "warnings": [x.to_json() for x in self.warnings], **self.read(),
         }
 
 
@@ -177,7 +197,8 @@ class Lowering:
             return F.percentile(c, F.lit(QUANTILES[a.func]))
         return {"count_distinct": F.count_distinct, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[a.func](c)
 
-    def output(self, df: DataFrame, ceiling: int) -> DataFrame:
+    def output(self, df: DataFrame, ceiling: int, whole: bool = False) -> DataFrame:
+        """The rows asked for; ``whole`` is without order and limit, for what reads on in Spark."""
         q = self.q
         if q.is_aggregate:
             keys = [self.column(f).alias(f"g{i}") for i, f in enumerate(q.group_by)]
@@ -185,6 +206,8 @@ class Lowering:
             out = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
         else:
             out = df
+        if whole:
+            return out if q.is_aggregate else out.select(*[c for c in planner.RAW_COLUMNS[q.signal] if c in out.columns])
         order = self._order(out)
         if order:
             out = out.orderBy(*order)
@@ -223,7 +246,7 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
-def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, DataFrame], tail: bool = False, base: bool = False) -> ResultSet:
+def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, DataFrame], tail: bool = False, base: bool = False, whole: bool = False) -> ResultSet:
     """The DataFrame that answers a query for a tenant, of the table that the planner chooses."""
     if ids.tenant_id != scope.tenant_id:
         raise TenantMismatch
@@ -243,7 +266,7 @@ def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, Data
             found.append(w.limit_clamped(q.limit, limit))
         out = df.limit(limit).select(*[c for c in planner.RAW_COLUMNS[q.signal] if c in df.columns])
     else:
-        out = own.output(df, planner.MAX_LIMIT)
+        out = own.output(df, planner.MAX_LIMIT, whole)
     return ResultSet(out, p.table, tuple(dict.fromkeys(found)))
 
 
@@ -286,9 +309,10 @@ class Engine:
     tables: Mapping[str, DataFrame]
     catalog: Catalog | None = None
 
-    def query(self, q: Query | dict | str, scope: TenantScope, base: bool = False) -> ResultSet:
+    def query(self, q: Query | dict | str, scope: TenantScope, base: bool = False, whole: bool = False, ids: Resolved | None = None) -> ResultSet:
+        """``ids`` are the selector's resources where they are known already; ``whole`` is without order and limit."""
         q = q if isinstance(q, Query) else Query.from_json(q)
-        return lower(q, scope, resolve(q.resources, scope, self.catalog), self.tables, base=base)
+        return lower(q, scope, ids or resolve(q.resources, scope, self.catalog), self.tables, base=base, whole=whole)
 
     def tail(self, q: Query | dict | str, scope: TenantScope, now: datetime, since: datetime | None = None) -> TailPage:
         """One poll of a live tail; without a watermark the last minute, after a long pause the last hour."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import NIL
 
-MOST_FRAME = 64 * 1024
+MOST_FRAME, MOST_DIGITS = 64 * 1024, 20
 #: Names by the low three bits of a priority, as they are stored.
 SEVERITY_BY_CODE = ("emergency", "alert", "critical", "error", "warn", "notice", "info", "debug")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -21,35 +21,36 @@ STAMP = r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) ([ 0-9][0-9]) ([0-9
 TAG = r"^([A-Za-z0-9_.\-]{1,32})(?:\[([^\]]*)\]:?|:)"
 
 
-def frames(data: bytes) -> tuple[list[str], bytes]:
-    """Messages of a TCP stream so far and what is left of it: octet-counted if it begins with a digit, else
-    lines; blank lines are skipped. A frame over 64 KiB, or a bad count, is a ValueError."""
+def frames(data: bytes) -> tuple[list[str], bytes, str | None]:
+    """Messages of a TCP stream so far, what is left of it, and what is wrong with that: octet-counted if it begins with
+    a digit, else lines; blank lines are skipped. After a bad count or a frame over 64 KiB nothing can be told apart, so
+    the rest stays unread; the messages before it count."""
     out: list[str] = []
     counted = data[:1].isdigit()
     while data:
         if counted:
             head, space, rest = data.partition(b" ")
-            if not head.isdigit() or len(head) > 6:
-                raise ValueError("not an octet count")
+            if not head.isdigit() and (space or len(head) > MOST_DIGITS) or len(head) > MOST_DIGITS:
+                return out, data, "not an octet count"
             if not space:
                 break
             n = int(head)
             if n > MOST_FRAME:
-                raise ValueError("a frame is too long")
+                return out, data, "a frame is too long"
             if len(rest) < n:
                 break
             message, data = rest[:n], rest[n:]
         else:
             message, feed, rest = data.partition(b"\n")
+            if len(message) > MOST_FRAME:
+                return out, data, "a line is too long"
             if not feed:
-                if len(data) > MOST_FRAME:
-                    raise ValueError("a line is too long")
                 break
             data = rest
         text = decode(message)
         if text.strip():
             out.append(text)
-    return out, data
+    return out, data, None
 
 
 def decode(data: bytes) -> str:
@@ -59,20 +60,31 @@ def decode(data: bytes) -> str:
 
 def framed(streams: DataFrame, data: str = "data") -> DataFrame:
     """Rows of whole captured streams (binary ``data``) as one row a message: ``raw``; what a stream ends with
-    unfinished is a message if it is a line."""
+    unfinished is a message if it is a line. Messages before an error count; :func:`unframed` tells what is lost."""
+    return streams.withColumn("raw", F.explode(_frames(F.col(data))["messages"])).drop(data)
 
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        out = []
+
+def unframed(streams: DataFrame, data: str = "data") -> DataFrame:
+    """Streams of which something could not be told apart: without ``data``, with ``frame_error`` and ``bytes_lost``."""
+    out = streams.withColumn("_f", _frames(F.col(data))).where("_f.error IS NOT NULL")
+    return out.withColumns({"frame_error": F.col("_f.error"), "bytes_lost": F.col("_f.lost")}).drop("_f", data)
+
+
+def _frames(data: Column) -> Column:
+    @F.pandas_udf("messages array<string>, error string, lost long")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
         for v in values:
-            try:
-                got, rest = frames(bytes(v or b""))
-                out.append(got + ([decode(rest)] if rest.strip() and not bytes(v)[:1].isdigit() else []))
-            except ValueError:
-                out.append([])
-        return pd.Series(out, dtype=object)
-
-    return streams.withColumn("raw", F.explode(run(F.col(data)))).drop(data)
+            whole = bytes(v or b"")
+            got, rest, error = frames(whole)
+            if not error and rest.strip() and whole[:1].isdigit():
+                error = "ends within a frame"
+            elif not error and rest.strip():
+                got.append(decode(rest))
+            rows.append((got, error, len(rest) if error else 0))
+        return pd.DataFrame(rows, columns=["messages", "error", "lost"])
+
+    return run(data)
 
 
 def structured(tail: str) -> tuple[dict[str, str], str, str | None]:

@@ -43,13 +43,18 @@ def test_syslog_messages(spark):
 
 
 def test_framing(spark):
-    assert syslog.frames(b"<1>a\n\r\n<2>b\r\nrest") == (["<1>a", "<2>b"], b"rest")
-    assert syslog.frames(b"4 <1>a5 <2>bc3 <") == (["<1>a", "<2>bc"], b"3 <")
-    for bad in (b"99999 x", b"12x y", b"x" * 70_000):
-        with pytest.raises(ValueError):
-            syslog.frames(bad)
-    df = spark.createDataFrame([(1, bytearray(b"<1>a\n<2>\xff\nlast"))], "i int, data binary")
-    assert [r.raw for r in syslog.framed(df).collect()] == ["<1>a", "<2>�", "last"]
+    assert syslog.frames(b"<3>up\n\r\n<4>down\r\nrest") == (["<3>up", "<4>down"], b"rest", None)
+    assert syslog.frames(b"5 <3>up6 <4>dow3 <") == (["<3>up", "<4>dow"], b"3 <", None)
+    for bad, error in ((b"12x y", "count"), (b"9" * 30, "count"), (b"70000 x", "long"), (b"x" * 70_000, "long"), (b"x" * 70_000 + b"\n<1>a\n", "long")):
+        got, rest, why = syslog.frames(bad)
+        assert got == [] and rest == bad and error in why
+    # what comes before an error counts, and the loss is told
+    assert syslog.frames(b"5 hello5 world99999999 x") == (["hello", "world"], b"99999999 x", "a frame is too long")
+    rows = [(1, bytearray(b"<1>a\n<2>\xff\nlast")), (2, bytearray(b"5 hello5 worldx")), (3, bytearray(b"9 half")), (4, None)]
+    df = spark.createDataFrame(rows, "i int, data binary")
+    assert [(r.i, r.raw) for r in syslog.framed(df).orderBy("i").collect()] == [(1, "<1>a"), (1, "<2>\ufffd"), (1, "last"), (2, "hello"), (2, "world")]
+    assert [tuple(r) for r in syslog.unframed(df).orderBy("i").collect()] == [(2, "ends within a frame", 1), (3, "ends within a frame", 6)]
+    assert [tuple(r) for r in syslog.unframed(spark.createDataFrame([(5, bytearray(b"2 ab3x cd"))], df.schema)).collect()] == [(5, "not an octet count", 5)]
 
 
 def test_otlp(spark):
