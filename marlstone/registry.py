@@ -336,10 +336,10 @@ def _vendor(spark, sf_dir):
     return topology.with_vendor(d, v).select("device_id", "vendor")
 
 
-@register("group_counts", "SELECT 'g-' || n_nationkey AS group_id, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 7 = 0 GROUP BY 1")
+@register("group_counts", "SELECT 'g-' || n_nationkey AS group_id, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def _groups(spark, sf_dir):
     g = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("g-"), "n_nationkey").alias("group_id"))
-    m = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("g-"), "c_nationkey").alias("group_id"), F.concat(F.lit("user-"), "c_custkey").alias("resource_id"))
+    m = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("g-"), "c_nationkey").alias("group_id"), F.concat(F.lit("user-"), "c_custkey").alias("resource_id"))
     return inventory.groups_with_counts(g, m).select("group_id", "members")
 
 
@@ -360,17 +360,19 @@ def _threshold(spark, sf_dir):
     q = Query.from_json({"signal": "metric", "time": SIX_HOURS, "aggregations": [_agg("avg", "v", "value")], "group_by": [_f("time_bucket", seconds=60), _f("metric")]})
     c = alerts.Condition("threshold", "gt", 50.0, 300)
     alerts.check_rule(q, c)
-    got = alerts.read_threshold(_answer(spark, sf_dir, alerts.evaluation_query(q, c, NOW)), "rule-1", ["metric"])
+    whole = Engine(ad.tables(spark, sf_dir)).query(alerts.evaluation_query(q, c, NOW), SCOPE, whole=True).df
+    got = alerts.read_threshold(whole, "rule-1", ["metric"])
     return got.select("resource_id", "dedup_key", "value", alerts.breached(c, F.col("value")).alias("breaching"))
 
 
 @register("alert_absence", f"WITH {ad.METRICS}, {ad.RESOURCES}, h AS (SELECT resource_id, greatest(0, epoch_us({_NOW}) // 1000 - epoch_us(max(observed_at)) // 1000) / 1000.0 AS value FROM m WHERE tenant_id = 'tenant-1' AND observed_at >= {_NOW} - INTERVAL 3 HOUR AND observed_at < {_NOW} GROUP BY 1), "
-          "x AS (SELECT resource_id FROM r WHERE tenant_id = 'tenant-1' AND c_custkey < 150) SELECT coalesce(h.resource_id, x.resource_id) AS resource_id, round(coalesce(value, 10801.0), 6) AS value FROM x FULL JOIN h ON x.resource_id = h.resource_id")
+          "x AS (SELECT resource_id FROM r WHERE tenant_id = 'tenant-1') SELECT coalesce(h.resource_id, x.resource_id) AS resource_id, round(coalesce(value, 10801.0), 6) AS value FROM x FULL JOIN h ON x.resource_id = h.resource_id")
 def _absence(spark, sf_dir):
     c = alerts.Condition("absence", after_seconds=10_800)
     q = alerts.evaluation_query(Query.from_json({"signal": "metric", "time": DAY}), c, NOW)
-    expected = ad.resources(spark, sf_dir).where("tenant_id = 'tenant-1'").where(F.substring("resource_id", 6, 20).cast("int") < 150)
-    return alerts.read_absence(_answer(spark, sf_dir, q), "rule-2", NOW, expected, c.after_seconds).select("resource_id", "value")
+    expected = ad.resources(spark, sf_dir).where("tenant_id = 'tenant-1'")
+    heard = Engine(ad.tables(spark, sf_dir)).query(q, SCOPE, base=True, whole=True).df
+    return alerts.read_absence(heard, "rule-2", NOW, expected, c.after_seconds).select("resource_id", "value")
 
 
 def _evaluations(spark, sf_dir):
@@ -385,14 +387,14 @@ def _replayed(spark, sf_dir):
 
 
 @register("alert_cycle", f"WITH {ad.METRICS}, b AS (SELECT 'r/' || resource_id AS dedup_key, max(value) > 60 AS breaching FROM m WHERE tenant_id = 'tenant-1' GROUP BY 1), "
-          "s AS (SELECT 'r/user-' || c_custkey AS dedup_key, ['ok', 'pending', 'firing', 'resolved'][c_custkey % 4 + 1] AS was, TIMESTAMP '2024-01-05 11:00:00' + to_minutes(c_custkey % 60) AS since FROM customer WHERE c_custkey < 100), "
+          "s AS (SELECT 'r/user-' || c_custkey AS dedup_key, ['ok', 'pending', 'firing', 'resolved'][c_custkey % 4 + 1] AS was, TIMESTAMP '2024-01-05 11:00:00' + to_minutes(c_custkey % 60) AS since FROM customer), "
           f"p AS (SELECT b.*, was, since, CASE WHEN breaching THEN CASE WHEN was = 'firing' THEN 'firing' WHEN was = 'pending' AND epoch({_NOW}) - epoch(since) >= 1800 THEN 'firing' ELSE 'pending' END WHEN was = 'firing' THEN 'resolved' ELSE 'ok' END AS phase FROM b LEFT JOIN s USING (dedup_key)) "
           f"SELECT dedup_key, phase, CASE WHEN breaching AND (was = 'firing' OR was = 'pending' AND phase = 'pending') THEN since ELSE {_NOW} END AS since, (phase = 'firing' AND was IS DISTINCT FROM 'firing') OR phase = 'resolved' AS notify, phase IN ('pending', 'firing') OR coalesce(was IN ('pending', 'firing'), false) AS write FROM p")
 def _cycle(spark, sf_dir):
     readings = ad.metrics(spark, sf_dir).where("tenant_id = 'tenant-1'").groupBy(F.concat(F.lit("r/"), "resource_id").alias("dedup_key")).agg((F.max("value") > 60).alias("breaching"))
     readings = readings.withColumns({"hold_seconds": F.lit(1800.0), "suppressed": F.lit(False), "muted": F.lit(False)})
     k = F.col("c_custkey")
-    states = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 100").select(
+    states = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.concat(F.lit("r/user-"), k).alias("dedup_key"), F.element_at(F.array(*map(F.lit, alerts.PHASES)), (k % 4 + 1).cast("int")).alias("phase"),
         F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-05 11:00:00").cast("timestamp")) + k % 60 * 60).alias("since"))
     return alerts.advance(states, readings, NOW)
@@ -473,8 +475,11 @@ def _subjects(spark, sf_dir):
 
 
 def queries():
+    from marlstone import registry_control  # noqa: F401  registers its own
+
     return {name: run for name, (run, _) in QUERIES.items()}
 
 
 def oracle_sql():
+    queries()
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}
