@@ -51,7 +51,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS = (
     "e AS (SELECT 'tenant-' || (user_id % 3) AS tenant_id, 'user-' || user_id AS resource_id, ts AS observed_at, "
-    f"[{', '.join(repr(s) for s in SEVERITIES)}][event_id % 9 + 1] AS severity, substr(event_type, 1, 1) AS event_category, event_type, "
+    f"[{', '.join(repr(s) for s in SEVERITIES)}][event_id % 9 + 1] AS severity, substr(event_type, 1, 1) AS event_category, event_type, props AS summary, "
     "'host-' || (user_id % 20) AS host_name FROM events)"
 )
 
@@ -84,6 +84,23 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions(orders, "o_custkey", "status", ["observed_at", "o_orderkey"])
 
 
+def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions in the stored shape."""
+    k = F.col("o_custkey")
+    severity = F.when(F.col("current_status") == "F", "critical").when(F.col("current_status") == "P", "warn").otherwise("info")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return states(spark, sf_dir).select(
+        F.concat(F.lit("tenant-"), k % 3).alias("tenant_id"), "resource_id", F.concat(F.lit("site-"), k % 12).alias("site_id"), "observed_at", F.col("observed_at").alias("ingested_at"),
+        severity.alias("severity"), "previous_status", "current_status", F.lit("").alias("reason"), none.alias("attributes"))
+
+
+STATES = (
+    "s0 AS (SELECT o_custkey, o_orderdate AS observed_at, o_orderstatus AS current_status, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_status FROM orders), "
+    "s AS (SELECT 'tenant-' || (o_custkey % 3) AS tenant_id, 'user-' || o_custkey AS resource_id, observed_at, CASE current_status WHEN 'F' THEN 'critical' WHEN 'P' THEN 'warn' ELSE 'info' END AS severity, "
+    "previous_status, current_status FROM s0 WHERE previous_status IS DISTINCT FROM current_status)"
+)
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("up", "down", "degraded", "maintenance", "decommissioned"))), (F.col("c_custkey") % 5 + 1).cast("int"))
     return _read(spark, sf_dir, "customer").select(
@@ -118,7 +135,7 @@ class Views(Mapping):
     """Telemetry tables by name, each built when it is asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        own = {"logs": logs, "metrics": metrics, "events": events}
+        own = {"logs": logs, "metrics": metrics, "events": events, "states": state_rows}
         self._build = {n: (lambda f=f: f(spark, sf_dir)) for n, f in own.items()}
         self._build |= {"logs_counts_5m": lambda: log_counts(self["logs"]), "metrics_5m": lambda: metric_rollup(self["metrics"]), "metrics_1h": lambda: hourly(self["metrics_5m"])}
 

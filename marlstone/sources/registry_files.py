@@ -16,7 +16,12 @@ WIDTHS = {"L": 6, "M": 7, "S": 9}
 
 def oui_registry(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, registry, organisation) of a tab-separated file; lines of another form are left out."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 3)
+    return oui_rows(spark.read.text(path))
+
+
+def oui_rows(text: DataFrame) -> DataFrame:
+    """The same of lines (value) that are read already."""
+    lines = text.select(F.split("value", "\t").alias("p")).where(F.size("p") >= 3)
     out = lines.select(F.lower(F.trim(F.col("p")[0])).alias("prefix"), F.trim(F.col("p")[1]).alias("registry"), F.trim(F.col("p")[2]).alias("organisation"))
     return out.where(F.col("prefix").rlike("^([0-9a-f]{6}|[0-9a-f]{7}|[0-9a-f]{9})$") & (F.col("organisation") != ""))
 
