@@ -46,13 +46,20 @@ def register(name: str, sql: str | None):
     return add
 
 
+def engine_of(spark: SparkSession, sf_dir: str, signal: str = "log", raw: bool = False) -> Engine:
+    """Queries read the stored tables; raw rows of metrics and events, which have finer times than are stored, the views."""
+    return Engine(ad.tables(spark, sf_dir) if raw and signal != "log" else ad.stored_tables(spark, sf_dir))
+
+
 def ask(name: str, sql: str | None, keep: tuple[str, ...] = (), **query) -> None:
     """Register a query in its JSON form; ``keep`` are the columns of raw rows that are compared."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         needs = query.get("resources", {}).get("type", "all") not in ("all", "ids")
         catalog = Catalog(ad.resources(spark, sf_dir)) if needs else None
-        out = Engine(ad.tables(spark, sf_dir), catalog).query(query, SCOPE).df
+        engine = engine_of(spark, sf_dir, query["signal"], bool(keep))
+        engine.catalog = catalog
+        out = engine.query(query, SCOPE).df
         return out.select(*keep) if keep else out
 
     QUERIES[name] = (lambda spark, sf_dir: naive(run(spark, sf_dir)), sql)
@@ -183,11 +190,11 @@ def _tail(spark, sf_dir):
     q = {"signal": "log", "time": MONTH, "limit": 5000}
     from datetime import timedelta
 
-    return Engine(ad.tables(spark, sf_dir)).tail(q, SCOPE, NOW, NOW - timedelta(minutes=30)).result.df.select("resource_id", "observed_at", "ingested_at")
+    return engine_of(spark, sf_dir).tail(q, SCOPE, NOW, NOW - timedelta(minutes=30)).result.df.select("resource_id", "observed_at", "ingested_at")
 
 
 def _answer(spark, sf_dir, q):
-    return Engine(ad.tables(spark, sf_dir)).query(q, SCOPE).df
+    return engine_of(spark, sf_dir).query(q, SCOPE).df
 
 
 def _logs_of_month(**more):
@@ -230,7 +237,9 @@ def _series(spark, sf_dir):
     return views.series(_answer(spark, sf_dir, q))
 
 
-@register("view_around", None)
+@register("view_around", f"WITH {ad.LOGS}, {ad.METRICS}, {ad.EVENTS}, {ad.STATES}, x AS (SELECT 'log' AS signal, tenant_id, resource_id, observed_at, body AS text FROM l UNION ALL SELECT 'event', tenant_id, resource_id, observed_at, summary FROM e "
+          "UNION ALL SELECT 'state', tenant_id, resource_id, observed_at, concat_ws(' to ', previous_status, current_status) FROM s UNION ALL SELECT 'metric', tenant_id, resource_id, observed_at, metric || ' ' || value FROM m) "
+          f"SELECT signal, observed_at, text FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY observed_at DESC, text) AS n FROM x WHERE tenant_id = 'tenant-1' AND resource_id = 'user-4' AND observed_at >= {_NOW} - INTERVAL 5 MINUTE AND observed_at < {_NOW} + INTERVAL 5 MINUTE) WHERE n <= 25")
 def _around(spark, sf_dir):
     return views.around(ad.tables(spark, sf_dir), ad.TENANT, "user-4", NOW)
 
@@ -381,7 +390,15 @@ def _evaluations(spark, sf_dir):
     return own.withColumns({"hold_seconds": F.lit(7200.0), "suppressed": F.lit(False), "muted": F.lit(False)})
 
 
-@register("alert_replay", None)
+_FOLD = (f"WITH RECURSIVE {ad.METRICS}, e AS (SELECT 'r/' || resource_id AS k, {_B('observed_at', 3600)} AS ti, max(value) > 60 AS b FROM m WHERE tenant_id = 'tenant-1' GROUP BY 1, 2), "
+         "n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ti) AS rn FROM e), "
+         "w AS (SELECT k, rn, ti, CASE WHEN b THEN 'pending' ELSE 'ok' END AS phase, ti AS since, false AS notify FROM n WHERE rn = 1 UNION ALL "
+         "SELECT n.k, n.rn, n.ti, CASE WHEN n.b AND (w.phase = 'firing' OR w.phase = 'pending' AND epoch(n.ti) - epoch(w.since) >= 7200) THEN 'firing' WHEN n.b THEN 'pending' WHEN w.phase = 'firing' THEN 'resolved' ELSE 'ok' END, "
+         "CASE WHEN n.b AND (w.phase = 'firing' OR w.phase = 'pending' AND epoch(n.ti) - epoch(w.since) < 7200) THEN w.since ELSE n.ti END, "
+         "CASE WHEN n.b THEN w.phase = 'pending' AND epoch(n.ti) - epoch(w.since) >= 7200 ELSE w.phase = 'firing' END FROM w JOIN n ON n.k = w.k AND n.rn = w.rn + 1) ")
+
+
+@register("alert_replay", _FOLD + "SELECT k AS dedup_key, ti AS \"at\", phase, since, notify FROM w")
 def _replayed(spark, sf_dir):
     return alerts.replay(_evaluations(spark, sf_dir))
 
@@ -424,7 +441,14 @@ def _quiet(spark, sf_dir):
     return alerts.suppressions(maintenance.covered(s, r, none))
 
 
-@register("notification_budget", None)
+_BUDGET = ("WITH RECURSIVE a AS (SELECT event_id AS attempt_id, user_id % 3 AS t, user_id % 2 AS c, ts AS ti, row_number() OVER (PARTITION BY user_id % 3, ts::DATE ORDER BY ts, event_id) AS rn, ts::DATE AS day FROM events), "
+           "s AS (SELECT DISTINCT t, day FROM a), "
+           "w AS (SELECT t, day, 0::BIGINT AS rn, NULL::BIGINT AS attempt_id, NULL::VARCHAR AS outcome, 0 AS sent, []::STRUCT(c BIGINT, ti TIMESTAMP)[] AS recent FROM s UNION ALL "
+           "SELECT t, day, rn, attempt_id, o, sent + (o = 'sent')::INT, CASE WHEN o = 'sent' THEN list_append(near, {c: c, ti: ti}) ELSE near END FROM (SELECT *, CASE WHEN sent >= 50 THEN 'over_budget' WHEN len(list_filter(near, lambda x: x.c = cc)) >= 2 THEN 'rate_limited' ELSE 'sent' END AS o FROM "
+           "(SELECT a.t, a.day, a.rn, a.attempt_id, a.c, a.c AS cc, a.ti, w.sent, list_filter(w.recent, lambda x: x.ti > a.ti - INTERVAL 1 MINUTE) AS near FROM w JOIN a ON a.t = w.t AND a.day = w.day AND a.rn = w.rn + 1))) ")
+
+
+@register("notification_budget", _BUDGET + "SELECT attempt_id, outcome FROM w WHERE attempt_id IS NOT NULL")
 def _budget(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     a = e.select(F.col("event_id").alias("attempt_id"), F.concat(F.lit("t-"), F.col("user_id") % 3).alias("tenant_id"), F.concat(F.lit("c-"), F.col("user_id") % 3, F.lit("-"), F.col("user_id") % 2).alias("channel_id"), F.col("ts").cast("timestamp").alias("at"))

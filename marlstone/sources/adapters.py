@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import SEVERITIES
 from marlstone.operators.rollups import hourly, log_counts, metric_rollup
+from marlstone.sources.stored import Stored, stored
 
 TENANT = "tenant-1"
 _START = "2024-01-01 00:00:00"
@@ -151,3 +152,9 @@ class Views(Mapping):
 
 def tables(spark: SparkSession, sf_dir: str) -> Views:
     return Views(spark, sf_dir)
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> Stored:
+    """The same as they are stored: by tenant and day, sorted, with rollups; times to the millisecond."""
+    own = {"logs": logs, "metrics": metrics, "events": events, "states": state_rows}
+    return stored(spark, sf_dir, {n: (lambda f=f: f(spark, sf_dir)) for n, f in own.items()})

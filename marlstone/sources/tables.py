@@ -51,16 +51,18 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return out.select(*cols)
 
 
-def write(df: DataFrame, path: str, table: str, mode: str = "append", within: str = "") -> None:
-    """Append rows (to the folder ``within`` the table's). Each task writes few files: rows are dealt by tenant, day and a part of the resource."""
+def write(df: DataFrame, path: str, table: str, mode: str = "append", within: str = "", parts: int = 16) -> None:
+    """Append rows (to the folder ``within`` the table's). Rows are dealt by tenant, day and one of ``parts`` of the
+    resources, so a day of a tenant is as many files, each written by one task."""
     at = F.col(TIME.get(table, "observed_at"))
     out = conform(df, table).withColumn("d", F.to_date(at))
     sort = [c for c in ("resource_id", "metric", "severity") if c in out.columns and (c != "severity" or table == "logs_counts_5m")]
-    out = out.repartition("tenant_id", "d", F.pmod(F.xxhash64("resource_id"), F.lit(16))).sortWithinPartitions("tenant_id", "d", *sort, TIME.get(table, "observed_at"))
+    out = out.repartition("tenant_id", "d", F.pmod(F.xxhash64("resource_id"), F.lit(parts))).sortWithinPartitions("tenant_id", "d", *sort, TIME.get(table, "observed_at"))
     out.write.mode(mode).partitionBy("tenant_id", "d").parquet(f"{path}/{table}{within}")
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A written table, with its day as ``d``."""
     declared = T.StructType([*schema(table), T.StructField("d", T.DateType())])
     return spark.read.schema(declared).parquet(f"{path}/{table}")
 

@@ -172,3 +172,26 @@ def test_retention_drops_whole_days(spark, tmp_path):
     tb.write(generator.metrics(spark, 60, datetime(2026, 1, 1, tzinfo=UTC), days=3, tenants=1), str(tmp_path), "metrics")
     gone = jobs.expire(spark, str(tmp_path), "metrics", datetime(2026, 2, 1, 12, tzinfo=UTC))
     assert len(gone) == 1 and tb.read(spark, str(tmp_path), "metrics").select("d").distinct().count() == 2
+
+
+def test_compaction_keeps_the_rows_and_merges_rollups(spark, tmp_path):
+    from marlstone.sources.stored import compact
+    from marlstone.streaming import jobs
+
+    out, rows = str(tmp_path / "tables"), generator.metrics(spark, 400, T0, days=1, resources=5)
+    for k in range(3):
+        part = rows.where(F.pmod(F.hash("value"), F.lit(3)) == k)
+        for name, own in [("metrics", part), *jobs._rollups(part, "metrics")]:
+            tb.write(own, out, name, mode="overwrite", within=f"/batch={k}", parts=1)
+    want = {n: sorted(map(str, _merged(jobs.read_batches(spark, out, n), n).collect())) for n in ("metrics", "metrics_5m", "metrics_1h")}
+    before = jobs.read_batches(spark, out, "metrics_1h").count()
+    for n in want:
+        assert compact(spark, out, n) == 3 and compact(spark, out, n) == 1
+        assert sorted(map(str, _merged(jobs.read_batches(spark, out, n), n).collect())) == want[n]
+    assert jobs.read_batches(spark, out, "metrics_1h").count() < before
+
+
+def _merged(df, name):
+    from marlstone.operators.rollups import merge_metrics
+
+    return df.select("resource_id", "metric", "observed_at", "value") if name == "metrics" else merge_metrics(df).withColumn("sum_v", F.round("sum_v", 6))
