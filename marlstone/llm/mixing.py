@@ -132,7 +132,7 @@ def residual(raked: DataFrame) -> float:
 
 def _with_weights(tagged: DataFrame, mix: str, budget: float, staged: Staged) -> DataFrame:
     """``tagged`` (its cell in the column ``mix``) with weight, prob and sampled."""
-    cells = tagged.select(f"{mix}.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    cells = tagged.select(f"`{mix}`.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     cells = staged.keep(probabilities(rake(staged.keep(cells, "counts"), staged=staged), budget), "probable")
     key = unused("cell", tagged)
     name = lambda c: F.concat_ws("\x1f", *[F.col(c(m)) for m in MARGINS]).alias(key)
@@ -142,15 +142,15 @@ def _with_weights(tagged: DataFrame, mix: str, budget: float, staged: Staged) ->
     return out.select(*plain, "weight", "prob", (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
 
-def mixed(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``docs`` with mix (its source, lang, topic and tokens), weight, prob, and sampled (whether it is drawn).
+def mixed(docs: DataFrame, budget: float = BUDGET, mix: str = "mix") -> DataFrame:
+    """``docs`` with ``mix`` (its source, lang, topic and tokens), weight, prob, and sampled (whether it is drawn).
 
     The draw depends on doc_id alone: repeated rows are drawn together, null ids all alike. Null texts are
     empty, null sources and languages one value each. An empty table gives an empty result; other columns stay, and
     those of the names of the new ones are replaced.
     """
-    rest = docs.drop("mix", "weight", "prob", "sampled")
-    return _with_weights(rest.withColumn("mix", features()), "mix", budget, Staged(docs.sparkSession, "mixing"))
+    rest = docs.drop(mix, "weight", "prob", "sampled")
+    return _with_weights(rest.withColumn(mix, features()), mix, budget, Staged(docs.sparkSession, "mixing"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
