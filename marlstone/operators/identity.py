@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: How sure a match on one identifier is, and which identifiers are unique by specification.
 CONFIDENCE = {
@@ -37,29 +36,41 @@ def noisy_or_array(c: Column) -> Column:
     return 1 - F.aggregate(c, F.lit(1.0), lambda acc, x: acc * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))))
 
 
-def lookup(observed: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Hits of observed identifiers (obs_id, tenant_id, kind, value) on record: with resource_id."""
-    asked = observed.withColumn("value", normal(F.col("kind"), F.col("value")))
-    stored = identifiers.select("tenant_id", "kind", normal(F.col("kind"), F.col("value")).alias("value"), "resource_id")
-    return asked.join(stored, ["tenant_id", "kind", "value"])
+def _sets(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The distinct (kind, value) of each of some keys, as one array."""
+    return rows.groupBy(*keys).agg(F.collect_set(F.struct("kind", normal(F.col("kind"), F.col("value")).alias("value"))).alias(name))
+
+
+def _of_kind(pairs: str, kind: str) -> Column:
+    return F.filter(pairs, lambda x: x["kind"] == kind)
+
+
+def _touched(asked: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(obs_id, tenant_id, ids, resource_id, confidence, pairs, contradiction) of every resource that observations
+    (obs_id, tenant_id, ids) touch, by one join with the identifiers on record and one with those of the resource."""
+    stored = identifiers.select("tenant_id", "kind", normal(F.col("kind"), F.col("value")).alias("value"), "resource_id").distinct()
+    hits = asked.select("obs_id", "tenant_id", "ids", F.inline("ids")).join(stored, ["tenant_id", "kind", "value"])
+    touched = hits.groupBy("obs_id", "tenant_id", "resource_id").agg(
+        noisy_or(confidence_of(F.col("kind"))).alias("confidence"), F.collect_set(F.struct("kind", "value")).alias("pairs"), F.first("ids").alias("ids"))
+    own = _sets(identifiers.where(F.col("kind").isin(*UNIQUE)), ["tenant_id", "resource_id"], "own")
+    out = touched.join(own, ["tenant_id", "resource_id"], "left")
+    against = []
+    for kind in UNIQUE:
+        seen, theirs = (_of_kind(c, kind) for c in ("ids", "own"))
+        against.append(F.when((F.size(seen) > 0) & (F.size(theirs) > 0) & ~F.arrays_overlap(seen, theirs), kind))
+    return out.withColumn("contradiction", F.array_min(F.array_compact(F.array(*against)))).drop("own")
 
 
 def candidates(observed: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(obs_id, tenant_id, resource_id, confidence, matched, contradiction): resources that an observation touches.
 
-    A contradiction is an observed unique identifier of which the resource has another value on record.
+    A contradiction is an observed unique identifier of which the resource has another value on record. An
+    identifier that is observed or on record several times counts once.
     """
-    hits = lookup(observed, identifiers)
-    touched = hits.groupBy("obs_id", "tenant_id", "resource_id").agg(
-        noisy_or(confidence_of(F.col("kind"))).alias("confidence"), F.array_sort(F.collect_set("kind")).alias("matched"))
-    own = identifiers.where(F.col("kind").isin(*UNIQUE)).select("tenant_id", "resource_id", "kind", normal(F.col("kind"), F.col("value")).alias("stored"))
-    asked = observed.where(F.col("kind").isin(*UNIQUE)).select("obs_id", "tenant_id", "kind", normal(F.col("kind"), F.col("value")).alias("seen"))
-    against = (
-        touched.select("obs_id", "tenant_id", "resource_id").join(asked, ["obs_id", "tenant_id"]).join(own, ["tenant_id", "resource_id", "kind"])
-        .groupBy("obs_id", "tenant_id", "resource_id", "kind").agg(F.bool_or(F.col("seen") == F.col("stored")).alias("agrees"))
-        .where("NOT agrees").groupBy("obs_id", "tenant_id", "resource_id").agg(F.min("kind").alias("contradiction"))
-    )
-    return touched.join(against, ["obs_id", "tenant_id", "resource_id"], "left")
+    named = observed.where("kind IS NOT NULL AND value IS NOT NULL")
+    out = _touched(_sets(named, ["obs_id", "tenant_id"], "ids"), identifiers)
+    matched = F.array_sort(F.array_distinct(F.transform("pairs", lambda x: x["kind"])))
+    return out.select("obs_id", "tenant_id", "resource_id", "confidence", matched.alias("matched"), "contradiction")
 
 
 def resolve_observations(observed: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -70,15 +81,13 @@ def resolve_observations(observed: DataFrame, identifiers: DataFrame) -> DataFra
     otherwise a new resource is made. Observations are the distinct obs_id of ``observed``; one without
     identifiers has a row with a null kind.
     """
-    named = observed.where("kind IS NOT NULL AND value IS NOT NULL")
-    found = candidates(named, identifiers)
-    counts = named.select("obs_id", "tenant_id", "kind", normal(F.col("kind"), F.col("value")).alias("value")).distinct().groupBy("obs_id", "tenant_id").agg(F.count(F.lit(1)).alias("asked"))
-    hits = lookup(named, identifiers).select("obs_id", "tenant_id", "kind", "value", "resource_id").distinct()
-    hit = hits.groupBy("obs_id", "tenant_id").agg(F.count_distinct("kind", "value").alias("hit"), F.count_distinct("resource_id").alias("resources"))
-    order = Window.partitionBy("obs_id", "tenant_id").orderBy(F.col("contradiction").isNotNull(), F.col("confidence").desc(), "resource_id")
-    best = found.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    every = observed.select("obs_id", "tenant_id").distinct()
-    out = every.join(counts, ["obs_id", "tenant_id"], "left").join(hit, ["obs_id", "tenant_id"], "left").join(best, ["obs_id", "tenant_id"], "left")
+    # a null kind or value is collected as such and left out of the array
+    named = F.filter("ids", lambda x: x["kind"].isNotNull() & x["value"].isNotNull())
+    asked = _sets(observed, ["obs_id", "tenant_id"], "ids").withColumn("ids", named)
+    order = F.struct(F.col("contradiction").isNotNull().alias("bad"), (-F.col("confidence")).alias("less"), "resource_id", "contradiction", "confidence")
+    best = _touched(asked, identifiers).groupBy("obs_id", "tenant_id").agg(
+        F.min(order).alias("b"), F.count(F.lit(1)).alias("resources"), F.size(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("hit"))
+    out = asked.select("obs_id", "tenant_id", F.size("ids").alias("asked")).join(best, ["obs_id", "tenant_id"], "left").select("*", "b.resource_id", "b.contradiction", "b.confidence")
     clear = F.col("contradiction").isNull()
     repeat = clear & (F.col("resources") == 1) & (F.col("hit") == F.col("asked"))
     outcome = (
