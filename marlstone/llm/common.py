@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key of more rows is a hub; of E rows at most E / HUB keys are.
+HUB = 1000
 #: Most rows that a broadcast side may have; its rows are a few dozen bytes wide.
 BROADCAST_ROWS = 100_000
 
@@ -115,6 +118,19 @@ def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", most: i
     return salted.join(copies, [key, salt], how).drop(salt)
 
 
+def hub_join(staged: Staged, big: DataFrame, side: DataFrame, key: str, fits: Callable[[DataFrame], bool] | None = None) -> DataFrame:
+    """Inner join of a written table to ``side`` (one row per key). Keys of more than HUB rows are few; what is joined to
+    their rows is broadcast, if ``fits`` says so, so that no task gets all rows of one."""
+    hubs = staged.keep(big.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HUB).select(key), "hubs")
+    if hubs.isEmpty() or not small(hubs):
+        return big.join(side, key)
+    of_hubs = side.join(F.broadcast(hubs), key, "left_semi")
+    if fits and not fits(of_hubs):
+        return big.join(side, key)
+    joined = big.join(F.broadcast(of_hubs), key)
+    return joined.unionByName(big.join(F.broadcast(hubs), key, "left_anti").join(side, key))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 is the held-out part."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))

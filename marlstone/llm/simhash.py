@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marlstone.llm.common import Staged, lookup, small, table, text_of, unused
+from marlstone.llm.common import Staged, hub_join, lookup, table, text_of, unused
 from marlstone.llm.components import components
 
 #: Maps A-Z to a-z in UTF-8, where those bytes stand for nothing else.
@@ -164,12 +164,7 @@ NEAR_NUM, NEAR_DEN = 4, 5
 LOOSE_BITS = 76
 #: Bands of so many minima each: a pair of a similarity of 0.8 shares no band once in 38 000 times.
 BANDS, ROWS = 20, 4
-#: Bands that more unlinked texts share are taken two at a time, which brings together no pair less than all but one in
-#: 2800 at a similarity of 0.8; what then shares a pair of bands is compared whatever its number.
-PAIRED = 64
-#: A text in more pairs is joined apart from the rest.
-HUB = 1000
-#: Hashes in the sets of such texts that are broadcast at most (8 bytes each).
+#: Hashes in the sets of hubs that are broadcast at most (8 bytes each).
 HUB_HASHES = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _BAND = np.random.default_rng(11).integers(1, 1 << 63, (BANDS * ROWS, 2), np.uint64) | np.uint64(1)
@@ -231,17 +226,9 @@ def verified_pairs(staged: Staged, texts: DataFrame, pairs: DataFrame, k: int =
     of 0.8 or more."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     sets = staged.keep(texts.join(ids, "id", "left_semi").select("id", sets_udf(k)("text").alias("hashes")), "sets")
-    both = pairs
-    for end in ("x", "y"):
-        own = sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}"))
-        hubs = staged.keep(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select(end), "hubs")
-        hub_sets = own.join(hubs, end)
-        if hubs.isEmpty() or not small(hubs) or hub_sets.agg(F.sum(F.size(f"h{end}"))).first()[0] > HUB_HASHES:
-            both = both.join(own, end)
-            continue
-        names = [*both.columns, f"h{end}"]
-        of_hubs = both.join(F.broadcast(hub_sets), end).select(*names)
-        both = of_hubs.unionByName(both.join(F.broadcast(hubs), end, "left_anti").join(own, end).select(*names))
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}"))
+    fits = lambda hubs: hubs.agg(F.sum(F.size("hx"))).first()[0] <= HUB_HASHES
+    both = hub_join(staged, pairs, side("x"), "x", fits).join(side("y"), "y")
     both = both.withColumn("common", F.size(F.array_intersect("hx", "hy")).cast("long"))
     total = F.size("hx") + F.size("hy")  # common / (total - common) >= NEAR
     near = both.where((NEAR_DEN + NEAR_NUM) * F.col("common") >= NEAR_NUM * total)
@@ -261,9 +248,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     group; ``ident`` (doc_id) tells documents apart.
 
     Equal texts (letter case and white space aside) are grouped first, under their least id.  The rest are indexed
-    by bands of minima of their shingle hashes.  Each text is first compared with the least id of each of its bands;
-    then all pairs that share a band and aren't linked yet are compared, those of popular bands if they share two, but for
-    those that what no other of them has keeps apart: of a large group of copies, most texts that differ too much do so.
+    by bands of minima of their shingle hashes.  Each text is first compared with the least id of each of its bands.
+    Texts of which some band still has several groups are then joined exactly, by the rarest fifth of their shingles
+    (prefix and positional filter), so a large group of copies isn't compared with each text that differs too much.
     Candidates that sizes and signatures allow are verified by the exact similarity of their shingle sets, and verified
     links are closed over.  Rows with a null doc_id take no part.
     """
@@ -279,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     own = staged.keep(paired.where("b IS NULL OR id = b").where("size > 0").select("id", "size", "sig", "bands"), "own")
     index = own.select("id", F.explode("bands").alias("key"))
     counts = index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged.keep(index.join(counts.drop("n"), "key"), "shared")
+    shared = staged.keep(lookup(index, staged.keep(counts.drop("n"), "counts"), "key", "inner"), "shared")
     light = own.select("id", "size", "sig")
     star = shared.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
     # equal copies hang on their least alone, so they take no part in the search for components
@@ -297,45 +284,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
 
 def _likely(staged: Staged, pairs: DataFrame, light: DataFrame) -> DataFrame:
     """The ``pairs`` (x, y) whose sizes and signatures (in ``light``, by id) allow a similarity of 0.8."""
+    pairs = staged.keep(pairs, "asked")
     for end in ("x", "y"):
-        side = staged.keep(light.select(F.col("id").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), f"side_{end}")
-        pairs = lookup(pairs, side, end, "inner", salts=4)
+        side = light.select(F.col("id").alias(end), F.col("size").alias(f"n{end}"), F.col("sig").alias(f"s{end}"))
+        pairs = hub_join(staged, pairs, side, end)
     return staged.keep(pairs.where(likely(*map(F.col, ("nx", "ny", "sx", "sy")))).select("x", "y"), "likely")
 
 
 def _unlinked_pairs(staged: Staged, texts: DataFrame, shared: DataFrame, roots: DataFrame, light: DataFrame, k: int) -> DataFrame:
-    """The pairs (x, y) that share a band but no root and that sizes, signatures and own shingles allow."""
+    """The pairs (x, y) of different roots, of texts that share a band with one of another root, that prefix, position,
+    size and signature allow to be similar.
+
+    Shingles are in the order of the number of these texts that have them, rarest first. Two sets with a similarity of 0.8
+    have at least 0.8 of the greater one in common, so one of the first fifth of each; and after the first that they
+    share, enough have to follow in both. Of the texts that have a shingle, those of its most frequent root aren't
+    compared with each other.
+    """
     rooted = shared.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = staged.keep(rooted.select("id", "key", F.coalesce("root", "id").alias("root")), "rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    some = staged.keep(rooted.join(several, "key"), "several")
-    # shingles that a single one of these texts has are in no intersection of two; what they leave of a text has to be
-    # 0.8 of it at least, as its union with another is no smaller
-    asked = staged.keep(some.select("id").distinct(), "asked")
-    grams = texts.join(asked, "id", "left_semi").select("id", F.explode(sets_udf(k)("text")).alias("h"))
-    single = grams.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    single = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    met = light.join(asked, "id", "left_semi").join(single, "id", "left").withColumn("met", F.col("size") - F.coalesce("own", F.lit(0)))
-    met = staged.keep(met.where(NEAR_DEN * F.col("met") >= NEAR_NUM * F.col("size")).select("id", "size", "sig", "met"), "met")
-    some = some.join(met, "id")
-    counts = some.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
-    counts = counts.where("r1 <> r2").select("key", (F.col("n") > PAIRED).alias("popular"))
-    rows = staged.keep(some.join(counts, "key"), "open")
-    # two bands at a time: a pair that shares one that is not popular is found there
-    popular = rows.where("popular").groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"), *[F.first(c).alias(c) for c in _SIDE[1:]])
-    later = lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))
-    twos = popular.select(*_SIDE, F.explode(F.flatten(F.transform("keys", later))).alias("key"))
-    every = rows.where("not popular").select(*_SIDE, "key").unionByName(twos)
-    found = every.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    every = staged.keep(every.join(found, "key"), "every")
-    a, b = (every.select("key", *[F.col(c).alias(f"{c}{i}") for c in _SIDE]) for i in (1, 2))
-    overlap = (NEAR_NUM + NEAR_DEN) * F.least("met1", "met2") >= NEAR_NUM * (F.col("size1") + F.col("size2"))
-    near = overlap & likely(*map(F.col, ("size1", "size2", "sig1", "sig2")))
-    pairs = a.join(b, "key").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & near)
-    return staged.keep(pairs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct(), "pairs")
-
-
-_SIDE = ("id", "root", "size", "sig", "met")
+    some = lookup(rooted, staged.keep(several, "several"), "key", "inner").select("id", "root").distinct()
+    some = staged.keep(light.join(some, "id"), "open")
+    grams = texts.join(some.select("id"), "id", "left_semi").select("id", F.explode(sets_udf(k)("text")).alias("h"))
+    grams = staged.keep(grams, "grams")
+    counts = staged.keep(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "gram_counts")
+    own = Window.partitionBy("id")
+    ranked = lookup(grams, counts, "h", "inner").select("id", "h", F.row_number().over(own.orderBy("n", "h")).alias("at"), F.count(F.lit(1)).over(own).alias("met"))
+    # those that no other of the texts has come first of all
+    first = ranked.join(some, "id").withColumn("at", F.col("at") + F.col("size") - F.col("met")).where(F.expr(f"at <= size - ceil(size * {NEAR_NUM} / {NEAR_DEN}) + 1"))
+    first = staged.keep(first.select("h", "id", "root", "size", "sig", "at"), "prefixes")
+    of_root = first.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    first = staged.keep(lookup(first, staged.keep(major, "major"), "h", "inner"), "met")
+    side = lambda df, i: df.select("h", (F.col("root") == F.col("major")).alias(f"major{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "size", "sig", "at")])
+    a, b = side(first.where("root <> major"), 1), side(first, 2)
+    overlap = 1 + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
+    enough = (NEAR_NUM + NEAR_DEN) * overlap >= NEAR_NUM * (F.col("size1") + F.col("size2"))
+    near = enough & likely(*map(F.col, ("size1", "size2", "sig1", "sig2")))
+    pairs = a.join(b, "h").where((F.col("major2") | (F.col("id1") < F.col("id2"))) & (F.col("root1") != F.col("root2")) & near)
+    return staged.keep(pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct(), "pairs")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
