@@ -28,6 +28,8 @@ from marlstone.plans.scope import TenantScope
 
 #: Resource sets up to this size are an IN list; larger ones a semi join.
 IN_LIST = 1000
+#: Sketches of percentiles are off by at most one in so many ranks.
+ACCURACY = 10_000
 #: Date column that tables may be partitioned by.
 DAY = "d"
 
@@ -88,8 +90,8 @@ def _lit(value: Any) -> Column:
 
 
 class Lowering:
-    def __init__(self, q: Query, p: TablePlan, found: list[w.QueryWarning]):
-        self.q, self.plan, self.warnings = q, p, found
+    def __init__(self, q: Query, p: TablePlan, found: list[w.QueryWarning], approximate: bool = False):
+        self.q, self.plan, self.warnings, self.approximate = q, p, found, approximate
 
     def column(self, f: Field) -> Column:
         return self._of(planner.column_of(f, self.plan, self.warnings))
@@ -194,7 +196,8 @@ class Lowering:
             return F.count(F.lit(1))
         c = self.column(a.field)
         if a.func in QUANTILES:
-            return F.percentile(c, F.lit(QUANTILES[a.func]))
+            # an exact percentile holds every distinct value of a group; a sketch has a bounded state
+            return F.percentile_approx(c, QUANTILES[a.func], ACCURACY) if self.approximate else F.percentile(c, F.lit(QUANTILES[a.func]))
         return {"count_distinct": F.count_distinct, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[a.func](c)
 
     def output(self, df: DataFrame, ceiling: int, whole: bool = False) -> DataFrame:
@@ -246,7 +249,7 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
-def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, DataFrame], tail: bool = False, base: bool = False, whole: bool = False) -> ResultSet:
+def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, DataFrame], tail: bool = False, base: bool = False, whole: bool = False, approximate: bool = False) -> ResultSet:
     """The DataFrame that answers a query for a tenant, of the table that the planner chooses."""
     if ids.tenant_id != scope.tenant_id:
         raise TenantMismatch
@@ -255,7 +258,7 @@ def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, Data
     p, found = planner.plan(q, base)
     if tail:
         planner.check_tail(q, p)
-    own = Lowering(q, p, found)
+    own = Lowering(q, p, found, approximate)
     df = own.scan(tables[p.table], scope, ids)
     if rate:
         df = with_rate(df)
@@ -304,15 +307,17 @@ class TailPage:
 
 @dataclass
 class Engine:
-    """Telemetry tables by name, and the inventory that selectors are resolved against."""
+    """Telemetry tables by name, and the inventory that selectors are resolved against; ``approximate`` takes percentiles
+    from sketches, which large groups need."""
 
     tables: Mapping[str, DataFrame]
     catalog: Catalog | None = None
+    approximate: bool = False
 
     def query(self, q: Query | dict | str, scope: TenantScope, base: bool = False, whole: bool = False, ids: Resolved | None = None) -> ResultSet:
         """``ids`` are the selector's resources where they are known already; ``whole`` is without order and limit."""
         q = q if isinstance(q, Query) else Query.from_json(q)
-        return lower(q, scope, ids or resolve(q.resources, scope, self.catalog), self.tables, base=base, whole=whole)
+        return lower(q, scope, ids or resolve(q.resources, scope, self.catalog), self.tables, base=base, whole=whole, approximate=self.approximate)
 
     def tail(self, q: Query | dict | str, scope: TenantScope, now: datetime, since: datetime | None = None) -> TailPage:
         """One poll of a live tail; without a watermark the last minute, after a long pause the last hour."""

@@ -13,19 +13,17 @@ DESCENDING = ("depends_on", "member_of", "hosts", "runs")
 def descendants(edges: DataFrame, roots: DataFrame, max_depth: int, kinds: tuple[str, ...] = DESCENDING) -> DataFrame:
     """(resource_id, depth): everything within ``max_depth`` steps of the roots, which have depth 0.
 
-    A level at a time, each by one join with the edges that could still be new; what was reached before is
-    left out, so cycles end. Nothing is collected but whether a level is empty.
+    A level is one join of the level before with the edges, without those of its own depth twice; what is reached again,
+    as in a cycle, keeps its least depth. The depth bounds the walk, so nothing is run, kept or collected meanwhile, and the
+    levels that the union names several times are one exchange each.
     """
     steps = edges.where(F.col("kind").isin(*kinds)).select(F.col("target_id").alias("resource_id"), F.col("source_id").alias("next")).distinct()
-    seen = roots.select("resource_id", F.lit(0).alias("depth")).distinct()
-    level = seen
+    level = roots.select("resource_id").distinct()
+    every = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        level = level.join(steps, "resource_id").select(F.col("next").alias("resource_id"), F.lit(depth).alias("depth")).distinct()
-        level = level.join(seen.select("resource_id"), "resource_id", "left_anti").persist()
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen
+        level = level.join(steps, "resource_id").select(F.col("next").alias("resource_id")).distinct()
+        every = every.unionByName(level.withColumn("depth", F.lit(depth)))
+    return every.groupBy("resource_id").agg(F.min("depth").alias("depth"))
 
 
 def descendants_sql(spark, max_depth: int, kinds: tuple[str, ...] = DESCENDING) -> DataFrame:

@@ -181,6 +181,12 @@ def _paused(spark, sf_dir):
     return page.result.df.select("resource_id", "observed_at", "ingested_at", F.lit(page.skipped).alias("skipped"))
 
 
+@register("metric_percentiles_sketched", f"WITH {ad.METRICS} SELECT metric AS g0, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.99), 6) AS p99 FROM m WHERE tenant_id = 'tenant-1' AND observed_at >= TIMESTAMP '2024-01-05' AND observed_at < TIMESTAMP '2024-01-05 06:00:00' GROUP BY 1")
+def _sketched(spark, sf_dir):
+    q = {"signal": "metric", "time": {"start": "2024-01-05T00:00:00Z", "end": "2024-01-05T06:00:00Z"}, "aggregations": [_agg(p, p, "value") for p in ("p50", "p99")], "group_by": [_f("metric")]}
+    return Engine(ad.tables(spark, sf_dir), approximate=True).query(q, SCOPE).df
+
+
 # --- inventory ---
 @register("pollable", f"WITH {ad.RESOURCES}, i AS (SELECT 'user-' || s_suppkey AS resource_id, min('10.0.0.' || (s_suppkey + x)) AS mgmt_ip FROM supplier, range(2) t(x) GROUP BY 1) "
           "SELECT r.resource_id, mgmt_ip, CASE WHEN c_custkey % 4 = 0 THEN 'p-' || (c_custkey % 7) END AS profile_id FROM r JOIN i USING (resource_id) WHERE status <> 'decommissioned'")

@@ -1,7 +1,7 @@
 """Syslog: framing, both message formats, and log rows.
 
-The older format is read by expressions.  The newer one's structured data has quotes and escapes that no regular
-expression follows, so it is read by an Arrow UDF, and only for the messages that have any.
+Both formats are read by expressions.  Structured data may have escapes, which no regular expression follows; such
+messages, and those whose parameters repeat, are read by an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -127,6 +127,22 @@ def structured(tail: str) -> tuple[dict[str, str], str, str | None]:
     return found, tail[at:].removeprefix(" ") if at else tail, None
 
 
+#: Structured data without escapes or brackets in its values, one element of it, and one parameter.
+ELEMENT = r'\[[^\s\]"=]+(?: [^\s\]"=]+="[^"\\\]]*")*\]'
+PARAMETER = r' ([^\s\]"=]+)="([^"\\\]]*)"'
+PLAIN_DATA = f"^(?:{ELEMENT})+"
+
+
+def plain_pairs(tail: Column) -> Column:
+    """The parameters, as structs of id.name and value, of structured data that PLAIN_DATA matches."""
+    def of(element: Column) -> Column:
+        ident = F.regexp_extract(element, r'^\[([^\s\]"=]+)', 1)
+        names, values = (F.regexp_extract_all(element, F.lit(PARAMETER), F.lit(i)) for i in (1, 2))
+        return F.zip_with(names, values, lambda n, v: F.struct(F.concat(ident, F.lit("."), n).alias("key"), v.alias("value")))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.regexp_extract(tail, PLAIN_DATA, 0), F.lit(ELEMENT), F.lit(0)), of))
+
+
 def _structured(tail: Column) -> Column:
     @F.pandas_udf("data map<string,string>, body string, error string")
     def run(tails: pd.Series) -> pd.DataFrame:
@@ -157,19 +173,28 @@ def parse(rows: DataFrame, raw: str = "raw", received_at: str = "received_at") -
     field = lambda i: F.when(F.col("_new"), _none(F.get(parts, F.lit(i))))
     tail = F.when(F.col("_new") & (F.size(parts) > 5), F.get(parts, F.lit(5)))
     out = out.withColumns({"_at5": field(0), "_host5": field(1), "_app5": field(2), "_proc5": field(3), "_msg5": field(4), "_tail": tail})
-    plain = F.coalesce(~F.startswith(F.col("_tail"), F.lit("[")), F.lit(True))
-    out = out.withColumn("_sd", F.when(~plain, _structured(F.when(~plain, F.col("_tail")))))
-    body5 = F.when(plain, F.regexp_replace(F.coalesce("_tail", F.lit("")), "^-( |$)?", "")).otherwise(F.col("_sd.body"))
+    none = F.coalesce(~F.startswith(F.col("_tail"), F.lit("[")), F.lit(True))
+    out = out.withColumn("_pairs", F.when(~none & F.col("_tail").rlike(PLAIN_DATA), plain_pairs(F.col("_tail"))))
+    keys = F.transform("_pairs", lambda x: x["key"])
+    out = out.withColumn("_plain", F.coalesce(F.size("_pairs") == F.size(F.array_distinct(keys)), F.lit(False)))
+    out = out.withColumn("_sd", F.when(~none & ~F.col("_plain"), _structured(F.when(~none & ~F.col("_plain"), F.col("_tail")))))
+    body5 = (
+        F.when(none, F.regexp_replace(F.coalesce("_tail", F.lit("")), "^-( |$)?", ""))
+        .when(F.col("_plain"), F.regexp_replace("_tail", f"{PLAIN_DATA} ?", "")).otherwise(F.col("_sd.body"))
+    )
     # the time alone decides whether it is one
     time5 = F.when(F.col("_at5").rlike(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.try_to_timestamp(F.upper("_at5")))
     # the older format: a stamp of fifteen characters, a host, a tag
     old = F.col("_rest").isNotNull() & ~F.col("_new")
-    stamp = lambda i: F.regexp_extract("_rest", STAMP, i)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), stamp(1))
+    # the stamp has a fixed width
+    stamped = old & F.col("_rest").rlike(STAMP)
+    number = lambda at, n: F.trim(F.substring("_rest", at, n)).cast("int")
+    month = ((F.position(F.substring("_rest", 1, 3), F.lit("".join(MONTHS))) + 2) / 3).cast("int")
     now = F.col(received_at)
-    of_year = lambda y: F.try_to_timestamp(F.format_string("%04d-%02d-%02d %s:%s:%s", y, month.cast("int"), F.trim(stamp(2)).try_cast("int"), stamp(3), stamp(4), stamp(5)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    this = of_year(F.year(now))
-    time3 = F.when(old & (month > 0), F.when(this > now + F.expr("INTERVAL 1 DAY"), of_year(F.year(now) - 1)).otherwise(this))
+    of_year = lambda y: F.try_make_timestamp(y, month, number(5, 2), number(8, 2), number(11, 2), number(14, 2))
+    out = out.withColumn("_this", F.when(stamped, of_year(F.year(now))))
+    late = F.col("_this") > now + F.expr("INTERVAL 1 DAY")
+    time3 = F.when(late, of_year(F.year(now) - 1)).otherwise(F.col("_this"))
     out = out.withColumns({"_time3": time3, "_time5": time5})
     out = out.withColumn("_after", F.when(F.col("_time3").isNotNull(), F.ltrim(F.expr("substring(_rest, 17)"))))
     out = out.withColumns({"_host3": F.nullif(F.substring_index("_after", " ", 1), F.lit("")), "_text3": F.ltrim(F.regexp_replace("_after", r"^[^ ]* ?", ""))})
@@ -191,7 +216,7 @@ def parse(rows: DataFrame, raw: str = "raw", received_at: str = "received_at") -
         *rows.columns, F.shiftright(pri, 3).cast("smallint").alias("facility"),
         F.element_at(F.array(*map(F.lit, SEVERITY_BY_CODE)), pri.bitwiseAND(F.lit(7)) + 1).alias("severity"),
         F.coalesce("_time5", "_time3").alias("timestamp"), F.coalesce("_host5", "_host3").alias("hostname"), F.coalesce("_app5", tag).alias("app_name"),
-        F.coalesce("_proc5", pid).alias("proc_id"), F.col("_msg5").alias("msg_id"), F.coalesce("_sd.data", empty).alias("structured_data"),
+        F.coalesce("_proc5", pid).alias("proc_id"), F.col("_msg5").alias("msg_id"), F.when(F.col("_plain"), F.map_from_entries("_pairs")).otherwise(F.coalesce("_sd.data", empty)).alias("structured_data"),
         F.regexp_replace(body, "^\\uFEFF", "").alias("body"), error.alias("parse_error"),
     )
 

@@ -195,3 +195,11 @@ def _merged(df, name):
     from marlstone.operators.rollups import merge_metrics
 
     return df.select("resource_id", "metric", "observed_at", "value") if name == "metrics" else merge_metrics(df).withColumn("sum_v", F.round("sum_v", 6))
+
+
+def test_structured_data_by_expression_is_that_of_the_reader(spark):
+    cases = ['[a@1 k="v"] m', '[a@1 k="v" j="w"][b x="y"]tail', '[a@1] m', '[a@1 k="v\\]"] m', '[a@1 k="x]y"] m', '[a@1 k="1" k="2"] m', '[a@1 k="1"][a@1 k="2"] m', '[a@1 k="v" m', '[a@1 k=""] ', '[a@1 k="é ü"]', '[a b="c"]  two', '[x y="a\nb"] z', '-', '- m', '[]', '[ a="b"] m']
+    rows = parse(spark, *[f"<13>1 2026-01-01T00:00:00Z h a p i {c}" for c in cases]).collect()
+    for r, c in zip(rows, cases, strict=True):
+        data, body, error = syslog.structured(c)
+        assert (r.structured_data, r.body, r.parse_error) == (data, body, error), c
