@@ -1,7 +1,7 @@
 """A Spark stream source of syslog datagrams, by the Python data source interface.
 
 Datagrams are kept in a bounded queue on the driver, which drops and counts when it is full, and are given to
-batches by offset. At scale, receivers write files or a log that streams read; this one serves a single listener.
+batches by offset; a restart of the driver loses what is queued. At scale, receivers write files or a log that streams read; this one serves a single listener.
 """
 
 from __future__ import annotations
