@@ -118,10 +118,12 @@ def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", most: i
     return salted.join(copies, [key, salt], how).drop(salt)
 
 
-def hub_join(staged: Staged, big: DataFrame, side: DataFrame, key: str, fits: Callable[[DataFrame], bool] | None = None) -> DataFrame:
-    """Inner join of a written table to ``side`` (one row per key). Keys of more than HUB rows are few; what is joined to
-    their rows is broadcast, if ``fits`` says so, so that no task gets all rows of one."""
-    hubs = staged.keep(big.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HUB).select(key), "hubs")
+def hub_join(staged: Staged, big: DataFrame, side: DataFrame, key: str, hubs: DataFrame | None = None, fits: Callable[[DataFrame], bool] | None = None) -> DataFrame:
+    """Inner join to ``side`` (one row per key). Keys of more than HUB rows are few; what is joined to their rows is
+    broadcast, if ``fits`` says so, so that no task gets all rows of one. ``hubs`` are these keys, where they are known."""
+    if hubs is None:
+        hubs = big.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HUB)
+    hubs = staged.keep(hubs.select(key), "hubs")
     if hubs.isEmpty() or not small(hubs):
         return big.join(side, key)
     of_hubs = side.join(F.broadcast(hubs), key, "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marlstone.llm.common import Staged, hub_join, lookup, table, text_of, unused
+from marlstone.llm.common import HUB, Staged, hub_join, lookup, table, text_of, unused
 from marlstone.llm.components import components
 
 #: Maps A-Z to a-z in UTF-8, where those bytes stand for nothing else.
@@ -228,7 +228,7 @@ def verified_pairs(staged: Staged, texts: DataFrame, pairs: DataFrame, k: int =
     sets = staged.keep(texts.join(ids, "id", "left_semi").select("id", sets_udf(k)("text").alias("hashes")), "sets")
     side = lambda end: sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}"))
     fits = lambda hubs: hubs.agg(F.sum(F.size("hx"))).first()[0] <= HUB_HASHES
-    both = hub_join(staged, pairs, side("x"), "x", fits).join(side("y"), "y")
+    both = hub_join(staged, pairs, side("x"), "x", fits=fits).join(side("y"), "y")
     both = both.withColumn("common", F.size(F.array_intersect("hx", "hy")).cast("long"))
     total = F.size("hx") + F.size("hy")  # common / (total - common) >= NEAR
     near = both.where((NEAR_DEN + NEAR_NUM) * F.col("common") >= NEAR_NUM * total)
@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     own = staged.keep(paired.where("b IS NULL OR id = b").where("size > 0").select("id", "size", "sig", "bands"), "own")
     index = own.select("id", F.explode("bands").alias("key"))
     counts = index.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged.keep(lookup(index, staged.keep(counts.drop("n"), "counts"), "key", "inner"), "shared")
+    counts = staged.keep(counts, "counts")
+    shared = staged.keep(hub_join(staged, index, counts.drop("n"), "key", _hubs(counts)), "shared")
     light = own.select("id", "size", "sig")
     star = shared.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
     # equal copies hang on their least alone, so they take no part in the search for components
@@ -282,6 +283,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     return groups
 
 
+def _hubs(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("n") > HUB)
+
+
 def _likely(staged: Staged, pairs: DataFrame, light: DataFrame) -> DataFrame:
     """The ``pairs`` (x, y) whose sizes and signatures (in ``light``, by id) allow a similarity of 0.8."""
     pairs = staged.keep(pairs, "asked")
@@ -302,20 +307,22 @@ def _unlinked_pairs(staged: Staged, texts: DataFrame, shared: DataFrame, roots:
     """
     rooted = shared.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = staged.keep(rooted.select("id", "key", F.coalesce("root", "id").alias("root")), "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    some = lookup(rooted, staged.keep(several, "several"), "key", "inner").select("id", "root").distinct()
+    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
+    several = staged.keep(several.where("r1 <> r2").select("key", "n"), "several")
+    some = hub_join(staged, rooted, several.select("key"), "key", _hubs(several)).select("id", "root").distinct()
     some = staged.keep(light.join(some, "id"), "open")
     grams = texts.join(some.select("id"), "id", "left_semi").select("id", F.explode(sets_udf(k)("text")).alias("h"))
     grams = staged.keep(grams, "grams")
     counts = staged.keep(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "gram_counts")
     own = Window.partitionBy("id")
-    ranked = lookup(grams, counts, "h", "inner").select("id", "h", F.row_number().over(own.orderBy("n", "h")).alias("at"), F.count(F.lit(1)).over(own).alias("met"))
+    ranked = hub_join(staged, grams, counts, "h", _hubs(counts)).select("id", "h", F.row_number().over(own.orderBy("n", "h")).alias("at"), F.count(F.lit(1)).over(own).alias("met"))
     # those that no other of the texts has come first of all
     first = ranked.join(some, "id").withColumn("at", F.col("at") + F.col("size") - F.col("met")).where(F.expr(f"at <= size - ceil(size * {NEAR_NUM} / {NEAR_DEN}) + 1"))
     first = staged.keep(first.select("h", "id", "root", "size", "sig", "at"), "prefixes")
     of_root = first.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    first = staged.keep(lookup(first, staged.keep(major, "major"), "h", "inner"), "met")
+    major = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+    major = staged.keep(major.where("roots > 1").drop("roots"), "major")
+    first = staged.keep(hub_join(staged, first, major.drop("n"), "h", _hubs(major)), "met")
     side = lambda df, i: df.select("h", (F.col("root") == F.col("major")).alias(f"major{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "size", "sig", "at")])
     a, b = side(first.where("root <> major"), 1), side(first, 2)
     overlap = 1 + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
