@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HUB = 1000
 #: Most rows that a broadcast side may have; its rows are a few dozen bytes wide.
 BROADCAST_ROWS = 100_000
+#: Most rows of a broadcast side that has nothing but an id or a hash.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +120,12 @@ def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", most: i
     return salted.join(copies, [key, salt], how).drop(salt)
 
 
+def of_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``big`` whose key is in ``ids`` (a written table of that one column); the ids are broadcast up to a checked
+    number, so that what is wide isn't shuffled."""
+    return big.join(F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids, key, "left_semi")
+
+
 def hub_join(staged: Staged, big: DataFrame, side: DataFrame, key: str, hubs: DataFrame | None = None, fits: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """Inner join to ``side`` (one row per key). Keys of more than HUB rows are few; what is joined to their rows is
     broadcast, if ``fits`` says so, so that no task gets all rows of one. ``hubs`` are these keys, where they are known."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from marlstone.llm.common import HUB, Staged, hub_join, lookup, table, text_of, unused
+from marlstone.llm.common import BROADCAST_IDS, HUB, Staged, hub_join, lookup, of_ids, table, text_of, unused
 from marlstone.llm.components import components
 
 #: Maps A-Z to a-z in UTF-8, where those bytes stand for nothing else.
@@ -224,8 +224,8 @@ def sets_udf(k: int = 5):
 def verified_pairs(staged: Staged, texts: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
     """The rows (a, b) of written ``pairs`` (x, y) whose ``texts`` (id, text) have shingle sets with a Jaccard similarity
     of 0.8 or more."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    sets = staged.keep(texts.join(ids, "id", "left_semi").select("id", sets_udf(k)("text").alias("hashes")), "sets")
+    ids = staged.keep(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "ids")
+    sets = staged.keep(of_ids(texts, ids, "id").select("id", sets_udf(k)("text").alias("hashes")), "sets")
     side = lambda end: sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}"))
     fits = lambda hubs: hubs.agg(F.sum(F.size("hx"))).first()[0] <= HUB_HASHES
     both = hub_join(staged, pairs, side("x"), "x", fits=fits).join(side("y"), "y")
@@ -311,7 +311,7 @@ def _unlinked_pairs(staged: Staged, texts: DataFrame, shared: DataFrame, roots:
     several = staged.keep(several.where("r1 <> r2").select("key", "n"), "several")
     some = hub_join(staged, rooted, several.select("key"), "key", _hubs(several)).select("id", "root").distinct()
     some = staged.keep(light.join(some, "id"), "open")
-    grams = texts.join(some.select("id"), "id", "left_semi").select("id", F.explode(sets_udf(k)("text")).alias("h"))
+    grams = of_ids(texts, some.select("id"), "id").select("id", F.explode(sets_udf(k)("text")).alias("h"))
     grams = staged.keep(grams, "grams")
     counts = staged.keep(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "gram_counts")
     own = Window.partitionBy("id")
@@ -355,4 +355,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = unused("ident", docs)
     gone = near_duplicates(docs, ident=ident).where("id <> group")
     gone = staged.keep(gone.select(F.col("id").alias(own), F.lit(True).alias(mark)), "gone")
-    return lookup(docs.withColumn(own, ident), gone, own).where(F.col(mark).isNull()).select(*plain)
+    return lookup(docs.withColumn(own, ident), gone, own, most=BROADCAST_IDS).where(F.col(mark).isNull()).select(*plain)
