@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import columns as fx
 from marlstone.operators.rate import with_rate
 from marlstone.operators.resolve import Catalog, Resolved, resolve
+from marlstone.operators.rollups import log_counts, merge_metrics, metric_rollup
 from marlstone.plans import planner
 from marlstone.plans import warnings as w
 from marlstone.plans.ast import QUANTILES, Expr, Field, Query, follow
@@ -89,6 +90,14 @@ def _lit(value: Any) -> Column:
     return F.lit(value)
 
 
+def within(table: DataFrame, tenant_id: str, time_col: str, start: datetime, end: datetime) -> DataFrame:
+    at = F.col(time_col)
+    out = table.where(F.col("tenant_id") == tenant_id).where((at >= F.lit(start)) & (at < F.lit(end)))
+    if DAY in table.columns:
+        out = out.where((F.col(DAY) >= F.lit(start.date())) & (F.col(DAY) <= F.lit(end.date())))
+    return out
+
+
 class Lowering:
     def __init__(self, q: Query, p: TablePlan, found: list[w.QueryWarning], approximate: bool = False):
         self.q, self.plan, self.warnings, self.approximate = q, p, found, approximate
@@ -101,15 +110,29 @@ class Lowering:
             return fx.attr(F.col(c.name), c.key)
         return fx.bucket(F.col(c.name), c.seconds) if c.seconds else F.col(c.name)
 
-    def scan(self, table: DataFrame, scope: TenantScope, ids: Resolved) -> DataFrame:
+    def window(self, tables: Mapping[str, DataFrame], scope: TenantScope) -> DataFrame:
+        """Rows of the tenant and the window. A pre-aggregate's bucket within which the window ends is built of the rows
+        before the end: its stored row has what comes after, too."""
+        start, end = self.plan.window_start(self.q.time.start), self.q.time.end
+        if self.plan.kind == "base":
+            return within(tables[self.plan.table], scope.tenant_id, "observed_at", start, end)
+        out, seconds = None, self.plan.bucket_seconds
+        for name, width in planner.FINER[self.plan.table]:
+            cut = planner.floored(end, width) if width else end
+            if cut > start:
+                rows = within(tables[name], scope.tenant_id, self.plan.time_col if width else "observed_at", start, cut)
+                if name != self.plan.table:
+                    rows = log_counts(rows) if name == "logs" else metric_rollup(rows, seconds) if name == "metrics" else merge_metrics(rows, seconds)
+                rows = rows.drop(DAY)
+                out = rows if out is None else out.unionByName(rows)
+                start = cut
+        return out
+
+    def scan(self, tables: Mapping[str, DataFrame], scope: TenantScope, ids: Resolved) -> DataFrame:
         """Rows of the tenant, the window, the resources and the filter."""
         if ids.tenant_id != scope.tenant_id:
             raise TenantMismatch
-        start, end = self.plan.window_start(self.q.time.start), self.q.time.end
-        at = F.col(self.plan.time_col)
-        out = table.where(F.col("tenant_id") == scope.tenant_id).where((at >= F.lit(start)) & (at < F.lit(end)))
-        if DAY in table.columns:
-            out = out.where((F.col(DAY) >= F.lit(start.date())) & (F.col(DAY) <= F.lit(end.date())))
+        out = self.window(tables, scope)
         if ids.ids is None:
             if self.plan.kind == "base":
                 self.warnings.append(w.FULL_TENANT_SCAN)
@@ -259,7 +282,7 @@ def lower(q: Query, scope: TenantScope, ids: Resolved, tables: Mapping[str, Data
     if tail:
         planner.check_tail(q, p)
     own = Lowering(q, p, found, approximate)
-    df = own.scan(tables[p.table], scope, ids)
+    df = own.scan(tables, scope, ids)
     if rate:
         df = with_rate(df)
     if tail:
