@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.columns import at_least, bucket
+from marlstone.operators.lower import Engine
 from marlstone.plans.ast import Aggregation, Field, Query, Sort, TimeRange, attr, compare
 from marlstone.plans.ast import bucket as time_bucket
+from marlstone.plans.scope import TenantScope
 
 #: Bucket widths, in seconds, that charts use.
 BUCKET_STEPS = (1, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400)
@@ -46,10 +48,15 @@ def panel_query(q: Query, start: datetime, end: datetime) -> Query:
 
 
 def reporting_query(metric: str, start: datetime, end: datetime) -> Query:
-    """Rows of a metric by resource; its number of rows is how many report."""
+    """Rows of a metric by resource, as a screen lists them; :func:`reporting` is how many report."""
     return Query("metric", TimeRange(start, end), filter=compare(Field("metric"), "eq", metric), aggregations=(Aggregation("count", "n"),), group_by=(Field("resource_id"),), limit=10_000)
 
 
+def reporting(engine: Engine, scope: TenantScope, metric: str, start: datetime, end: datetime) -> DataFrame:
+    """(n): how many resources report a metric, without the limit of a query's rows."""
+    return engine.query(reporting_query(metric, start, end), scope, whole=True).df.agg(F.count(F.lit(1)).alias("n"))
+
+
 def noisy_hosts_query(start: datetime, end: datetime, floor: str = "error") -> Query:
     """The hosts with the most rows of a severity or worse."""
     q = Query("log", TimeRange(start, end), filter=compare(Field("severity"), "in", tuple(at_least(floor))))

@@ -221,7 +221,7 @@ def _volume(spark, sf_dir):
 @register("view_reporting", f"WITH {ad.METRICS} SELECT count(*) AS n FROM (SELECT resource_id FROM m WHERE {IN_DAY} AND metric = 'view' GROUP BY 1)")
 def _reporting(spark, sf_dir):
     q = Query.from_json({"signal": "metric", "time": DAY})
-    return _answer(spark, sf_dir, views.reporting_query("view", q.time.start, q.time.end)).agg(F.count(F.lit(1)).alias("n"))
+    return views.reporting(engine_of(spark, sf_dir), SCOPE, "view", q.time.start, q.time.end)
 
 
 @register("view_dense_histogram", f"WITH {ad.METRICS}, h AS (SELECT {_B('observed_at', 600)} AS g0, count(*) AS n FROM m WHERE {IN_DAY} AND metric = 'error' GROUP BY 1) "
