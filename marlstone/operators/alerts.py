@@ -294,7 +294,8 @@ def active_alerts(states: DataFrame, rules: DataFrame, resources: DataFrame) ->
 
 
 def suppressions(covered: DataFrame) -> DataFrame:
-    """(resource_id, alerts, notifications): what any open window that covers a resource silences."""
+    """(resource_id, alerts, notifications): what any open window that covers a resource silences; ``covered`` is
+    maintenance.silenced or, of few windows, maintenance.covered."""
     return covered.groupBy("resource_id").agg(F.bool_or("suppress_alerts").alias("alerts"), F.bool_or("suppress_notifications").alias("notifications"))
 
 

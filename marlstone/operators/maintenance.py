@@ -78,8 +78,20 @@ def covered(windows: DataFrame, resources: DataFrame, members: DataFrame) -> Dat
     """(window_id, resource_id, suppress_alerts, suppress_notifications) of windows by target: a resource, a
     group's members, or a site's resources. A device's children are not covered with it."""
     own = [*(c for c in ("window_id", "tenant_id", "suppress_alerts", "suppress_notifications"))]
+    return _of_targets(windows, resources, members, own).drop("tenant_id").distinct()
+
+
+def silenced(windows: DataFrame, resources: DataFrame, members: DataFrame) -> DataFrame:
+    """(resource_id, suppress_alerts, suppress_notifications) of the same windows, without which one it is: those of one target
+    are one before they meet its resources, so many windows of a large group aren't paired with all its members."""
+    own = ["tenant_id", "suppress_alerts", "suppress_notifications"]
+    targets = windows.groupBy("tenant_id", "target_kind", "target_id").agg(*[F.bool_or(c).alias(c) for c in own[1:]])
+    return _of_targets(targets, resources, members, own).drop("tenant_id")
+
+
+def _of_targets(windows: DataFrame, resources: DataFrame, members: DataFrame, own: list[str]) -> DataFrame:
     by = lambda kind: windows.where(F.col("target_kind") == kind)
     one = by("resource").select(*own, F.col("target_id").alias("resource_id")).join(resources.select("tenant_id", "resource_id"), ["tenant_id", "resource_id"], "left_semi")
     group = by("group").join(members.select("tenant_id", F.col("group_id").alias("target_id"), "resource_id"), ["tenant_id", "target_id"]).select(*own, "resource_id")
     site = by("site").join(resources.select("tenant_id", F.col("site_id").alias("target_id"), "resource_id"), ["tenant_id", "target_id"]).select(*own, "resource_id")
-    return one.select(*own, "resource_id").unionByName(group).unionByName(site).drop("tenant_id").distinct()
+    return one.select(*own, "resource_id").unionByName(group).unionByName(site)

@@ -438,7 +438,7 @@ def _quiet(spark, sf_dir):
         (k % 3 == 0).alias("suppress_alerts"), (k % 5 == 0).alias("suppress_notifications"))
     r = ad.resources(spark, sf_dir).withColumn("tenant_id", F.lit("t"))
     none = spark.createDataFrame([], "tenant_id string, group_id string, resource_id string")
-    return alerts.suppressions(maintenance.covered(s, r, none))
+    return alerts.suppressions(maintenance.silenced(s, r, none))
 
 
 _BUDGET = ("WITH RECURSIVE a AS (SELECT event_id AS attempt_id, user_id % 3 AS t, user_id % 2 AS c, ts AS ti, row_number() OVER (PARTITION BY user_id % 3, ts::DATE ORDER BY ts, event_id) AS rn, ts::DATE AS day FROM events), "

@@ -450,7 +450,7 @@ def _evaluated(spark, sf_dir):
 def _quiet_groups(spark, sf_dir):
     k = F.col("s_suppkey")
     w = _table(spark, sf_dir, "supplier").where(k % 4 < 2).select(k.alias("window_id"), F.lit("t").alias("tenant_id"), F.lit("group").alias("target_kind"), _c("g-", k % 4).alias("target_id"), (k % 3 == 0).alias("suppress_alerts"), (k % 5 == 0).alias("suppress_notifications"))
-    return alerts.suppressions(maintenance.covered(w, ad.resources(spark, sf_dir).withColumn("tenant_id", F.lit("t")), _members(spark, sf_dir).withColumn("tenant_id", F.lit("t"))))
+    return alerts.suppressions(maintenance.silenced(w, ad.resources(spark, sf_dir).withColumn("tenant_id", F.lit("t")), _members(spark, sf_dir).withColumn("tenant_id", F.lit("t"))))
 
 
 # --- polling and discovery ---
