@@ -90,7 +90,8 @@ def links(staged: Staged, nodes: DataFrame, bits: int = 2, pair_limit: int = 128
     index = nodes.select("band", "fp", F.explode(F.array(*_variants(F.col("fp"), bits))).alias("key"))
     # counted with partial sums, so a popular segment is no one task's load; the counts are joined back by many rows a key
     counts = index.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged.keep(index.join(counts, ["band", "key"]), "shared")
+    # Spark takes what is exploded for as small as what it is exploded from, and would broadcast millions of rows
+    shared = staged.keep(index.join(counts.hint("merge"), ["band", "key"]), "shared")
     bucket = Window.partitionBy("band", "key")
     before = bucket.orderBy("fp").rowsBetween(-pair_limit, -1)
     exact_distance = lambda b: (F.bit_count(F.col("fp").bitwiseXOR(b)) <= bits)
@@ -110,7 +111,7 @@ def links(staged: Staged, nodes: DataFrame, bits: int = 2, pair_limit: int = 128
     )
     least = starred.groupBy("band", "mask", "kept").agg(F.min("fp").alias("b"), F.max("fp").alias("most"))
     stars = (
-        starred.join(least.where("b < most").drop("most"), ["band", "mask", "kept"])
+        starred.join(least.where("b < most").drop("most").hint("merge"), ["band", "mask", "kept"])
         .where("fp <> b").select("band", F.col("fp").alias("a"), "b")
     )
     return pairs.unionByName(stars)
