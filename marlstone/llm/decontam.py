@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Items and documents are cut into passages: windows of words as TF-IDF vectors over the benchmark's vocabulary.
-A distributed randomised SVD of benchmark and corpus passages gives a latent space; every window of every
-document is projected there and compared, a block at a time, with every passage of the stated benchmark by cosine.
+A randomised SVD of benchmark and corpus passages gives a latent space: one distributed pass over every passage of
+every document sketches the corpus's Gram matrix, and power iterations run on that sketch and the benchmark's passages.
+Every window of every document is projected there and compared, a block at a time, with every passage of the stated benchmark by cosine.
 Candidates are verified by the longest common subsequence of words with the passage and by whether the item's
 answer (its last words) follows where it should.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Staged, table, text_of
+from marlstone.llm.common import table, text_of
 
 
 class Scale(NamedTuple):
@@ -35,9 +37,11 @@ class Scale(NamedTuple):
 
 SCALES = (Scale(8, 4, 0), Scale(16, 8, 8), Scale(32, 16, 24))
 RANK, EXTRA, POWER = 128, 16, 2
-#: Corpus passages that the SVD is fitted on, as expected by a hash of the document's id (fewer: all).
-SAMPLE_PASSAGES = 20_000
+#: Columns of the corpus's sketch, passages multiplied at a time, and the words whose rows of it are added up together.
+SKETCH, FIT_ROWS, PART = 80, 64, 512
 FIT_TASKS = 8
+#: The benchmark's passages weigh so many times as much as all of the corpus's, as they are what has to be told apart.
+FAVOUR = 16.0
 #: Least cosine of a candidate.
 NEAR = 0.4
 #: Share of a passage's words in the longest common subsequence: enough alone, and enough with the answer.
@@ -66,8 +70,7 @@ class Vocabulary:
         self.size = len(self.of)
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
-        get, other = self.of.get, self.size
-        return np.array([get(w, other) for w in tokens], np.int32)
+        return np.fromiter(map(self.of.get, tokens, repeat(self.size)), np.int32, len(tokens))
 
 
 def window_starts(n: int, scale: Scale = SCALES[-1]) -> np.ndarray:
@@ -226,25 +229,95 @@ class Retriever:
         return [[(self.item_ids[i], *x) for i, x in sorted(found.items())] for found in best]
 
 
-def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each word of the vocabulary, all documents, and all their passages. As many rows
-    reach the driver as the benchmark has words."""
+class Sketch:
+    """Of a corpus, its documents, those that hold each word of the vocabulary, and the Gram matrix of its passages times ``x``.
+
+    Its passages are every 32 words of a document in turn, the last ones fewer, so each word counts in one. A passage is a
+    row of unit length with the root of each word's count there; words outside the vocabulary count nowhere. Word
+    frequencies multiply the product afterwards, so one pass gives both.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.x = x.astype(np.float32)
+        self.product = np.zeros(x.shape, np.float64)
+        self.df = np.zeros(len(x), np.int64)
+        self.n = 0
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        """Count in some texts, as the numbers of their words."""
+        self.n += len(texts)
+        ids = np.concatenate([np.zeros(0, np.int32), *texts])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        cuts = -(-sizes // SCALES[-1].window)
+        place = np.arange(len(ids)) - (np.cumsum(sizes) - sizes)[text]
+        passage = (np.cumsum(cuts) - cuts)[text] + place // SCALES[-1].window
+        inside = ids < len(self.df)
+        ids, text, passage = ids[inside], text[inside], passage[inside]
+        self.df += np.bincount(np.unique(text * len(self.df) + ids) % max(1, len(self.df)), minlength=len(self.df))
+        cut = np.searchsorted(passage, np.arange(0, int(cuts.sum()) + FIT_ROWS, FIT_ROWS)).tolist()
+        for k, (at, end) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if at < end:
+                self._add(ids[at:end], passage[at:end] - k * FIT_ROWS)
+
+    def _add(self, ids: np.ndarray, passage: np.ndarray) -> None:
+        order = np.zeros(len(self.df), np.int64)
+        order[ids] = 1
+        own = np.flatnonzero(order)
+        order[own] = np.arange(len(own))
+        a = np.bincount(passage * len(own) + order[ids], minlength=FIT_ROWS * len(own)).reshape(FIT_ROWS, len(own)).astype(np.float32)
+        a = np.sqrt(a / np.maximum(a.sum(1, keepdims=True), 1))
+        self.product[own] += a.T @ (a @ self.x[own])
+
+
+def sketched(docs: DataFrame, vocabulary: Vocabulary, x: np.ndarray) -> Sketch:
+    """The sketch of all documents. Tasks' parts are added up on the executors, by words, before they reach the driver."""
+    schema = "part int, n bigint, df binary, product binary"
+
+    def row(part: int, n: int, df: np.ndarray, product: np.ndarray) -> dict:
+        return {"part": part, "n": n, "df": df.tobytes(), "product": product.astype(np.float32).tobytes()}
 
     def count(batches):
-        df, n, passages = np.zeros(vocabulary.size + 1, np.int64), 0, 0
+        own = Sketch(x)
         for batch in batches:
+            held, size = [], 0
             for t in batch["text"]:
-                ids = vocabulary.ids(words(t))
-                df[np.unique(ids)] += 1
-                n += 1
-                passages += len(window_starts(len(ids)))
-        df[-1] = n
-        at = np.flatnonzero(df[:-1])
-        yield pd.DataFrame({"id": np.append(at, [-1, -2]), "n": np.append(df[at], [n, passages])})
-
-    rows = docs.select(text_of().alias("text")).mapInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    got = {r.id: r.n for r in rows}
-    return np.array([got.get(i, 0) for i in range(vocabulary.size)], np.int64), got.get(-1, 0), got.get(-2, 0)
+                held.append(vocabulary.ids(words(t)))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    own.add(held)
+                    held, size = [], 0
+            own.add(held)
+        if own.n:
+            yield pd.DataFrame([row(p, own.n if at == 0 else 0, own.df[at : at + PART], own.product[at : at + PART]) for p, at in enumerate(range(0, len(x), PART))])
+
+    def add(batches):
+        total: dict[int, list] = {}
+        for batch in batches:
+            for part, n, df, product in zip(*(batch[c] for c in ("part", "n", "df", "product")), strict=True):
+                df, product = np.frombuffer(df, np.int64), np.frombuffer(product, np.float32).reshape(-1, x.shape[1])
+                held = total.setdefault(part, [0, np.zeros(df.shape, np.int64), np.zeros(product.shape, np.float64)])
+                held[0] += n
+                held[1] += df
+                held[2] += product
+        yield pd.DataFrame([row(part, *held) for part, held in total.items()], columns=["part", "n", "df", "product"])
+
+    parts = docs.select(text_of().alias("text")).mapInPandas(count, schema).repartition(FIT_TASKS, "part").mapInPandas(add, schema)
+    out = Sketch(x)
+    for r in parts.collect():
+        own = slice(r.part * PART, (r.part + 1) * PART)
+        out.n += r.n
+        out.df[own] = np.frombuffer(bytes(r.df), np.int64)
+        out.product[own] = np.frombuffer(bytes(r.product), np.float32).reshape(-1, x.shape[1])
+    return out
+
+
+def factor(sketch: Sketch) -> np.ndarray:
+    """F, so that F F' is the Gram matrix as far as the sketch knows it (Nystroem's approximation)."""
+    inner = sketch.x.astype(np.float64).T @ sketch.product
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    some = values > 1e-6 * max(values[-1], 0.0)
+    return sketch.product @ (vectors[:, some] / np.sqrt(values[some]))
 
 
 def gram_product(ids: np.ndarray, idf: np.ndarray, x: np.ndarray, total: np.ndarray, scale: Scale = SCALES[-1], weight: float = 1.0) -> None:
@@ -265,29 +338,17 @@ def gram_product(ids: np.ndarray, idf: np.ndarray, x: np.ndarray, total: np.ndar
         total[own] += weight**2 * (a.T @ (a @ x[own]))
 
 
-def randomised_svd(sample: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, items: list[np.ndarray], weight: float, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors of the benchmark's and the sample's TF-IDF rows.
-
-    ``sample`` has text in FIT_TASKS partitions; each pass adds up its part of A'(A X) on the executors
-    and returns one matrix a task.  ``weight`` multiplies the benchmark's rows.
-    """
+def randomised_svd(corpus: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray, items: list[np.ndarray], weight: float, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """Leading right singular vectors of the benchmark's TF-IDF rows, multiplied by ``weight``, and of a corpus whose Gram
+    matrix is ``corpus`` times its transpose."""
     rng = np.random.default_rng(seed)
     width = min(rank + EXTRA, vocabulary.size)
     x = np.linalg.qr(rng.normal(size=(vocabulary.size, width)))[0]
 
     def product(x: np.ndarray) -> np.ndarray:
-        def part(batches):
-            total, own = np.zeros(x.shape, np.float64), x.astype(np.float32)
-            for batch in batches:
-                for t in batch["text"]:
-                    gram_product(vocabulary.ids(words(t)), idf, own, total)
-            yield pd.DataFrame({"m": [total.astype(np.float32).tobytes()]})
-
-        out = np.zeros(x.shape, np.float64)
+        out = corpus @ (corpus.T @ x)
         for ids in items:
             gram_product(ids, idf, x, out, weight=weight)
-        for r in sample.select("text").mapInPandas(part, "m binary").toLocalIterator():
-            out += np.frombuffer(bytes(r.m), np.float32).reshape(x.shape)
         return out
 
     for _ in range(POWER):
@@ -300,8 +361,7 @@ def randomised_svd(sample: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, i
 def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Retriever | None:
     """The retriever for a benchmark, which must fit in memory; None if it has no words.
 
-    Word frequencies are of all documents; the SVD takes about SAMPLE_PASSAGES passages of them, by document id
-    (documents without one count in the frequencies alone).
+    Word frequencies and the corpus's part of the SVD are of every passage of every document.
     """
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").collect()
     pairs = [(r.item_id, words(r.text)) for r in rows]
@@ -309,18 +369,14 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Retriever |
     if not pairs:
         return None
     vocabulary = Vocabulary([t for _, t in pairs])
-    df, n, passages = word_counts(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    share = min(1.0, SAMPLE_PASSAGES / max(passages, 1))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("decontam")), F.lit(1_000_000))
-    staged = Staged(docs.sparkSession, "decontam")
-    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (u < F.lit(round(share * 1_000_000))))
-    sample = staged.keep(some.select("text").repartition(FIT_TASKS), "sample")
+    rng = np.random.default_rng(7)
+    sketch = sketched(docs, vocabulary, np.linalg.qr(rng.normal(size=(vocabulary.size, min(SKETCH, vocabulary.size))))[0])
+    idf = np.log((sketch.n + 1) / (sketch.df + 1)) + 0.1
+    corpus = factor(sketch) * idf[:, None]
     ids = [vocabulary.ids(t) for _, t in pairs]
     own = sum(len(window_starts(len(x))) for x in ids)
-    weight = float(np.sqrt(max(1.0, min(passages, SAMPLE_PASSAGES) / own)))
-    basis = randomised_svd(sample.repartition(FIT_TASKS), vocabulary, idf, ids, weight, min(rank, vocabulary.size))
-    staged.drop(sample)
+    weight = float(np.sqrt(max(1.0, FAVOUR * (corpus**2).sum() / own)))
+    basis = randomised_svd(corpus, vocabulary, idf, ids, weight, min(rank, vocabulary.size))
     return Retriever(vocabulary, [i for i, _ in pairs], [t for _, t in pairs], idf, basis)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from marlstone.llm import decontam
@@ -67,3 +68,45 @@ def test_rows_are_decided_by_their_own_text(case):
     assert (None, None) in got and (5000, "") in got and got.count((8, "clean words only")) == 2
     assert (None, rows[8][1]) not in got and (6000, rows[8][1]) not in got and (8, rows[8][1]) not in got
     assert decontam.decontaminated(clash.limit(0), bench).count() == 0 and decontam.decontaminated(clash, bench.limit(0)).count() == len(rows)
+
+
+def test_every_document_counts_in_the_fit(spark):
+    """Two tables that differ in which words stand together in one document without an id: as many documents hold each word,
+    so only a fit that takes this document's passages can tell them apart."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(200)]
+    bench = spark.createDataFrame([(k, " ".join(vocabulary[20 * k : 20 * k + 20])) for k in range(10)], "item_id long, text string")
+    rows = [(k, " ".join(rng.choices(vocabulary, k=300))) for k in range(30)]
+    once = rng.sample(vocabulary, 200)
+    other = rng.sample(vocabulary, 200)
+    fits = []
+    for own in (once, other):
+        docs = spark.createDataFrame([*rows, (None, " ".join(own * 20))], "doc_id long, text string")
+        fits.append(decontam.fit(docs, bench))
+    assert np.array_equal(fits[0].idf, fits[1].idf)
+    a, b = (f.weighted[:-1] @ f.weighted[:-1].T for f in fits)
+    assert np.abs(a - b).max() > 1e-3
+
+
+def test_the_sketch_is_of_every_passage(spark):
+    rng = np.random.default_rng(3)
+    of = decontam.Vocabulary([[b"w%d" % i for i in range(700)]])
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, size=n) % 900) for n in (0, 1, 31, 32, 33, 5, 0, 2500, 40_000, 700)] + [None, "none of these"]
+    docs = spark.createDataFrame([(k if k % 3 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    x = rng.normal(size=(of.size, 9)).astype(np.float32)
+    got = decontam.sketched(docs, of, x)
+    rows, df = [], np.zeros(of.size, int)
+    for t in texts:
+        w = decontam.words(t or "")
+        df[[of.of[a] for a in set(w) if a in of.of]] += 1
+        for at in range(0, len(w), 32):
+            row = np.bincount(of.ids(w[at : at + 32]), minlength=of.size + 1)[:-1]
+            if row.any():
+                rows.append(np.sqrt(row / row.sum()))
+    assert got.n == len(texts) and np.array_equal(got.df, df)
+    assert np.allclose(got.product, np.array(rows).T @ (np.array(rows) @ x), rtol=1e-3, atol=1e-2)
+    # Nystroem's approximation is exact for a sketch as wide as the vocabulary's rank
+    small = decontam.Vocabulary([[b"w%d" % i for i in range(1, 40)]])
+    whole = decontam.sketched(docs, small, np.eye(small.size))
+    f = decontam.factor(whole)
+    assert np.allclose(f @ f.T, whole.product, rtol=1e-3, atol=1e-2)
