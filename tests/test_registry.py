@@ -43,6 +43,31 @@ def test_query_equals_its_twin(spark, tables, name):
     assert sorted(mine, key=key) == sorted(theirs, key=key)
 
 
+def test_log_rows_whole_differ_from_the_twin_only_in_the_tied_last_places(spark, tmp_path):
+    """From 120000 documents on rows share resource and time, and the twin leaves open which of them come within its limit."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT range AS doc_id, 'text ' || range AS text, 'en' AS lang, 'src1' AS source, 10::BIGINT AS n_chars FROM range(250000)")
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    sql, limit = registry.oracle_sql()["log_rows_whole"], 500
+    assert sql.endswith(f" LIMIT {limit}")
+    rows = c.execute(sql.removesuffix(f" LIMIT {limit}"))
+    names = [d[0] for d in rows.description]
+    whole = rows.fetchall()
+    key = lambda r: (r[names.index("resource_id")], r[names.index("observed_at")])
+    last = key(whole[limit - 1])
+    tied = {r for r in whole if key(r) == last}
+    before = [r for r in whole[:limit] if key(r) != last]
+    assert len(before) + len(tied) > limit
+    got = registry.queries()["log_rows_whole"](spark, str(tmp_path))
+    mine = [tuple(r[n] for n in names) for r in got.collect()]
+    assert sorted(got.columns) == sorted(names) and len(mine) == len(set(mine)) == limit
+    assert set(mine[:len(before)]) == set(before) and list(map(key, mine)) == list(map(key, whole[:limit]))
+    assert set(mine[len(before):]) < tied
+    # of tied rows the first by ingested_at, severity and body, each time
+    rest = [names.index(n) for n in ("ingested_at", "severity", "body")]
+    assert mine[len(before):] == sorted(tied, key=lambda r: [r[i] for i in rest])[:limit - len(before)]
+
+
 def test_every_query_has_a_twin():
     assert set(registry.queries()) == set(registry.oracle_sql())
 
