@@ -154,17 +154,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #
 # Sixty-four bits of SimHash can't tell a similarity of 0.8: two such texts differ in about twenty of them, and deletion
 # variants reach two. So texts that may be near are brought together by bands of minima of their shingle hashes; SimHash
-# words are the loose filter of what comes together, and the exact similarity of the shingle sets decides.
+# words are the loose filter of what comes together, and the exact similarity of the shingle sets decides. Both may miss
+# a pair, so they only serve to link most of each large group cheaply: a join of all texts by the prefixes of their shingle
+# sets, which can't miss any, finds whatever is not yet linked.
 
 SIGNATURE = 4  # 64-bit words of the signature that filters candidates
 #: Texts are near-duplicates from this Jaccard similarity of their sets of shingles (as a fraction, for exact sums).
 NEAR_NUM, NEAR_DEN = 4, 5
 #: Of 256 bits. Sets with a Jaccard similarity of 0.8 differ in 39 on average (the angle of two sets with that
 #: overlap), with a deviation of six, and those of five shingles and four of them in 48, so this loose filter is six
-#: deviations off, and for the smallest sets four and a half.
+#: deviations off, and for the smallest sets four and a half. What it refuses, the join by prefixes may still find.
 LOOSE_BITS = 76
 #: Bands of so many minima each: a pair of a similarity of 0.8 shares no band once in 38 000 times.
 BANDS, ROWS = 20, 4
+#: Counters of shingle hashes; they only order the shingles, so hashes that share one cost time, never a pair.
+COUNTERS = 1 << 20
+#: Counters in a row of partial sums, and tasks that add them up.
+PART, FIT_TASKS = 1 << 16, 8
 #: Hashes in the sets of hubs that are broadcast at most (8 bytes each).
 HUB_HASHES = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -222,6 +228,57 @@ def sets_udf(k: int = 5):
     return run
 
 
+def shingle_counts(texts: DataFrame, k: int = 5) -> np.ndarray:
+    """Of each counter the number of shingles of all ``texts`` that belong to it, each once a text. Tasks' counts are added
+    up on the executors, by parts, before they reach the driver."""
+    schema = "part int, n binary"
+
+    def count(batches):
+        total, held, size = np.zeros(COUNTERS, np.int64), [], 0
+        for batch in batches:
+            for t in batch["text"]:
+                held.append(counter_of(shingle_set(t, k)))
+                size += len(held[-1])
+                if size >= COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        if total.any():
+            yield pd.DataFrame({"part": range(COUNTERS // PART), "n": [x.tobytes() for x in total.reshape(-1, PART)]})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(batch["part"], batch["n"], strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(n, np.int64)
+        yield pd.DataFrame({"part": list(total), "n": [x.tobytes() for x in total.values()]})
+
+    out = np.zeros((COUNTERS // PART, PART), np.int64)
+    for r in texts.select("text").mapInPandas(count, schema).repartition(FIT_TASKS, "part").mapInPandas(add, schema).toLocalIterator():
+        out[r.part] = np.frombuffer(bytes(r.n), np.int64)
+    return out.ravel()
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes & (COUNTERS - 1)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a set of hashes, in ascending order, those that come first by ``counts`` and hash: so many that every set with a
+    similarity of 0.8 has one of them, and they one of its prefix."""
+    n = len(hashes) - -(-len(hashes) * NEAR_NUM // NEAR_DEN) + 1
+    return hashes[np.argsort(counts[counter_of(hashes)], kind="stable")[:n]]
+
+
+def prefixes_udf(counts, k: int = 5):
+    @F.pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([prefix(shingle_set(t, k), counts.value) for t in texts], dtype=object)
+
+    return run
+
+
 def verified_pairs(staged: Staged, texts: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
     """The rows (a, b) of written ``pairs`` (x, y) whose ``texts`` (id, text) have shingle sets with a Jaccard similarity
     of 0.8 or more."""
@@ -249,14 +306,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     group; ``ident`` (doc_id) tells documents apart.
 
     Equal texts (letter case and white space aside) are grouped first, under their least id.  The rest are indexed
-    by bands of minima of their shingle hashes.  Each text is first compared with the least id of each of its bands.
-    Texts of which some band still has several groups are then joined exactly, by the rarest fifth of their shingles
-    (prefix and positional filter), so a large group of copies isn't compared with each text that differs too much.
-    Candidates that sizes and signatures allow are verified by the exact similarity of their shingle sets, and verified
+    by bands of minima of their shingle hashes, and each text is compared with the least id of each of its bands; this
+    links most of every large group, by candidates that sizes and signatures allow.  Then all texts are joined exactly, by
+    the rarest fifth of their shingles (prefix and positional filter), except within groups that are linked already: no
+    pair is left out.  Candidates of either step are verified by the exact similarity of their shingle sets, and verified
     links are closed over.  Rows with a null doc_id take no part.
     """
     staged = Staged(docs.sparkSession, "neardup")
-    whole = F.lower(F.regexp_replace(F.trim("text"), "[\\x20\\x09-\\x0D]+", " "))
+    whole = F.lower(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")))
     texts = docs.where("doc_id IS NOT NULL").select((ident if ident is not None else F.col("doc_id")).alias("id"), text_of().alias("text"))
     same = F.struct(F.xxhash64(whole).alias("h1"), F.crc32(whole.cast("binary")).alias("h2")).alias("same")
     heads = staged.keep(texts.select("id", same, heads_udf(k)("text").alias("s")).select("id", "same", "s.*"), "heads")
@@ -274,7 +331,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, ident: Column | None = None) ->
     # equal copies hang on their least alone, so they take no part in the search for components
     linked = verified_pairs(staged, texts, _likely(staged, star, light), k)
     roots = staged.keep(components(staged, linked), "first_roots")
-    pairs = _unlinked_pairs(staged, texts, shared, roots, light, k)
+    pairs = _unlinked_pairs(staged, texts, own, roots, k)
     more = verified_pairs(staged, texts, pairs, k)
     roots = staged.keep(components(staged, linked.unionByName(more)), "roots")
     groups = roots.select(F.col("node").alias("id"), F.col("root").alias("group"))
@@ -297,38 +354,31 @@ def _likely(staged: Staged, pairs: DataFrame, light: DataFrame) -> DataFrame:
     return staged.keep(pairs.where(likely(*map(F.col, ("nx", "ny", "sx", "sy")))).select("x", "y"), "likely")
 
 
-def _unlinked_pairs(staged: Staged, texts: DataFrame, shared: DataFrame, roots: DataFrame, light: DataFrame, k: int) -> DataFrame:
-    """The pairs (x, y) of different roots, of texts that share a band with one of another root, that prefix, position,
-    size and signature allow to be similar.
+def _unlinked_pairs(staged: Staged, texts: DataFrame, own: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """The pairs (x, y) of different roots, of all texts in ``own``, that prefix, position and size allow to be similar.
 
-    Shingles are in the order of the number of these texts that have them, rarest first. Two sets with a similarity of 0.8
-    have at least 0.8 of the greater one in common, so one of the first fifth of each; and after the first that they
-    share, enough have to follow in both. Of the texts that have a shingle, those of its most frequent root aren't
-    compared with each other.
+    Shingles are in the order of the counts of all texts, rarest first. Two sets with a similarity of 0.8 have at least 0.8 of
+    the greater one in common, so one of the first fifth of each; and after the first that they share, enough have to
+    follow in both. Of the texts that have a shingle, those of its most frequent root aren't compared with each other.
     """
-    rooted = shared.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rooted = staged.keep(rooted.select("id", "key", F.coalesce("root", "id").alias("root")), "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
-    several = staged.keep(several.where("r1 <> r2").select("key", "n"), "several")
-    some = hub_join(staged, rooted, several.select("key"), "key", _hubs(several)).select("id", "root").distinct()
-    some = staged.keep(light.join(some, "id"), "open")
-    grams = of_ids(texts, some.select("id"), "id").select("id", F.explode(sets_udf(k)("text")).alias("h"))
-    grams = staged.keep(grams, "grams")
-    counts = staged.keep(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "gram_counts")
-    own = Window.partitionBy("id")
-    ranked = hub_join(staged, grams, counts, "h", _hubs(counts)).select("id", "h", F.row_number().over(own.orderBy("n", "h")).alias("at"), F.count(F.lit(1)).over(own).alias("met"))
-    # those that no other of the texts has come first of all
-    first = ranked.join(some, "id").withColumn("at", F.col("at") + F.col("size") - F.col("met")).where(F.expr(f"at <= size - ceil(size * {NEAR_NUM} / {NEAR_DEN}) + 1"))
-    first = staged.keep(first.select("h", "id", "root", "size", "sig", "at"), "prefixes")
+    counts = staged.spark.sparkContext.broadcast(shingle_counts(texts, k).astype(np.int32))
+    rooted = own.select("id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rooted = staged.keep(rooted.select("id", "size", F.coalesce("root", "id").alias("root")), "rooted")
+    ahead = staged.keep(texts.select("id", prefixes_udf(counts, k)("text").alias("prefix")).join(rooted, "id"), "ahead")
+    counts.unpersist()
+    first = ahead.select("id", "root", "size", F.posexplode("prefix").alias("at", "h")).withColumn("at", F.col("at") + 1)
+    met = first.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"))
+    met = staged.keep(met.where("r1 <> r2").select("h", "n"), "met")
+    # what is exploded is no small side, though Spark takes it for one
+    first = staged.keep(hub_join(staged, first, met.select("h"), "h", _hubs(met)), "prefixes")
     of_root = first.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
-    major = staged.keep(major.where("roots > 1").drop("roots"), "major")
-    first = staged.keep(hub_join(staged, first, major.drop("n"), "h", _hubs(major)), "met")
-    side = lambda df, i: df.select("h", (F.col("root") == F.col("major")).alias(f"major{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "size", "sig", "at")])
+    major = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"))
+    major = staged.keep(major, "major")
+    first = staged.keep(hub_join(staged, first, major.drop("n"), "h", _hubs(major)), "sided")
+    side = lambda df, i: df.select("h", (F.col("root") == F.col("major")).alias(f"major{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "size", "at")])
     a, b = side(first.where("root <> major"), 1), side(first, 2)
     overlap = 1 + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
-    enough = (NEAR_NUM + NEAR_DEN) * overlap >= NEAR_NUM * (F.col("size1") + F.col("size2"))
-    near = enough & likely(*map(F.col, ("size1", "size2", "sig1", "sig2")))
+    near = (NEAR_NUM + NEAR_DEN) * overlap >= NEAR_NUM * (F.col("size1") + F.col("size2"))
     pairs = a.join(b, "h").where((F.col("major2") | (F.col("id1") < F.col("id2"))) & (F.col("root1") != F.col("root2")) & near)
     return staged.keep(pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct(), "pairs")
 
@@ -352,7 +402,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         one = marked.where(F.col(mark)).groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("rest"))
         one = one.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns])
         docs = staged.keep(marked.where(F.col(mark).isNull()).select(*plain).unionByName(one), "single")
-        ident = F.struct("doc_id", F.xxhash64(text_of()).alias("h"))
+        # not of text_of(): a null text and an empty one are two rows
+        ident = F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"))
     own = unused("ident", docs)
     gone = near_duplicates(docs, ident=ident).where("id <> group")
     gone = staged.keep(gone.select(F.col("id").alias(own), F.lit(True).alias(mark)), "gone")
