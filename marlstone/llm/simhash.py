@@ -168,9 +168,9 @@ LOOSE_BITS = 76
 #: Bands of so many minima each: a pair of a similarity of 0.8 shares no band once in 38 000 times.
 BANDS, ROWS = 20, 4
 #: Counters of shingle hashes; they only order the shingles, so hashes that share one cost time, never a pair.
-COUNTERS = 1 << 20
-#: Counters in a row of partial sums, and tasks that add them up.
-PART, FIT_TASKS = 1 << 16, 8
+COUNTERS, MOST = 1 << 20, np.iinfo(np.int32).max
+#: Counters in a row of partial sums (8 kB, as Spark hands Python thousands of rows at once), and tasks that add them up.
+PART, FIT_TASKS = 1 << 11, 8
 #: Hashes in the sets of hubs that are broadcast at most (8 bytes each).
 HUB_HASHES = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -244,19 +244,19 @@ def shingle_counts(texts: DataFrame, k: int = 5) -> np.ndarray:
                     held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        if total.any():
-            yield pd.DataFrame({"part": range(COUNTERS // PART), "n": [x.tobytes() for x in total.reshape(-1, PART)]})
+        rows = [(part, x.astype(np.int32).tobytes()) for part, x in enumerate(total.reshape(-1, PART)) if x.any()]
+        yield pd.DataFrame(rows, columns=["part", "n"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, n in zip(batch["part"], batch["n"], strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(n, np.int64)
-        yield pd.DataFrame({"part": list(total), "n": [x.tobytes() for x in total.values()]})
+                total[part] = total.get(part, 0) + np.frombuffer(n, np.int32).astype(np.int64)
+        yield pd.DataFrame([(part, x.clip(max=MOST).astype(np.int32).tobytes()) for part, x in total.items()], columns=["part", "n"])
 
-    out = np.zeros((COUNTERS // PART, PART), np.int64)
-    for r in texts.select("text").mapInPandas(count, schema).repartition(FIT_TASKS, "part").mapInPandas(add, schema).toLocalIterator():
-        out[r.part] = np.frombuffer(bytes(r.n), np.int64)
+    out = np.zeros((COUNTERS // PART, PART), np.int32)
+    for r in texts.select("text").mapInPandas(count, schema).repartition(FIT_TASKS, "part").mapInPandas(add, schema).collect():
+        out[r.part] = np.frombuffer(bytes(r.n), np.int32)
     return out.ravel()
 
 
@@ -361,7 +361,7 @@ def _unlinked_pairs(staged: Staged, texts: DataFrame, own: DataFrame, roots: Dat
     the greater one in common, so one of the first fifth of each; and after the first that they share, enough have to
     follow in both. Of the texts that have a shingle, those of its most frequent root aren't compared with each other.
     """
-    counts = staged.spark.sparkContext.broadcast(shingle_counts(texts, k).astype(np.int32))
+    counts = staged.spark.sparkContext.broadcast(shingle_counts(texts, k))
     rooted = own.select("id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = staged.keep(rooted.select("id", "size", F.coalesce("root", "id").alias("root")), "rooted")
     ahead = staged.keep(texts.select("id", prefixes_udf(counts, k)("text").alias("prefix")).join(rooted, "id"), "ahead")
