@@ -50,16 +50,18 @@ def grams(z: np.ndarray, owner: np.ndarray, sizes: tuple[int, ...], bits: int) -
             yield h.astype(np.int32), owner[at + 1]
 
 
-def blocks(texts: list[str], most: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in order, in lists of at most ``most`` characters, with the number of each text. A longer
-    text is cut at spaces (within a word only if there is none), so every character comes up once."""
+def blocks(texts: list[str], most: int, longest: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts in order, in lists of at most ``most`` characters, with the number of each text. A text of more than
+    ``longest`` (``most``) is cut at spaces (within a word only if there is none), so every character comes up once; one
+    of more than ``most`` that isn't cut is a list of its own."""
+    longest = longest or most
     of: list[int] = []
     parts: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         at = 0
         while at < len(text) or not text:
-            to = min(len(text), at + most)
+            to = min(len(text), at + longest)
             if to < len(text):
                 cut = text.rfind(" ", at, to)
                 to = cut + 1 if cut >= at else to

@@ -31,8 +31,10 @@ MOST_TOXIC, MOST_CLEAN = 2000, 4000
 MOST_CHARS = 3_500_000
 #: Share of n-grams left out of a step, so that a word doesn't hang on a few of them.
 DROPPED = 0.4
-#: Characters scored at a time.
+#: Characters fitted at a time, and those of one text that are scored at a time.
 BLOCK = 1 << 20
+#: Characters of several texts that are scored at a time; each takes some 50 bytes meanwhile, in every worker.
+SCORED = 1 << 18
 #: n-grams of a training step taken at a time.
 PART = 1 << 20
 
@@ -58,7 +60,7 @@ class ToxicityModel:
     def margins(self, texts: list[str]) -> np.ndarray:
         """The highest margin of the words of each text; -20 where there are none."""
         out = np.full(len(texts), -20.0)
-        for of, parts in blocks(texts, BLOCK):
+        for of, parts in blocks(texts, SCORED, BLOCK):
             z, begin = codes(parts)
             margin, starts = self.words(z)
             if len(starts):

@@ -4,12 +4,13 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm import decontam, extract, media, mixing, registry
-from marlstone.llm.common import Staged
+from marlstone.llm.common import Staged, light_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -288,5 +289,27 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert set(seen["mixing"]) <= set(seen["secrets"]) and "prob" in d.columns
 
 
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "secrets"])
+def test_pipeline_hands_python_few_texts_at_a_time(spark, tmp_path, name):
+    own = spark.newSession()
+    docs = own.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ta ri "), 1000).alias("text"))
+    docs = docs.selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars")
+    own.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    own.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dict(corpus_pipeline.STAGES)[name](own, docs.limit(0), str(tmp_path))
+
+    @F.pandas_udf("struct<n:long,chars:long>")
+    def held(texts):
+        return pd.DataFrame({"n": [len(texts)] * len(texts), "chars": [int(texts.str.len().sum())] * len(texts)})
+
+    most = docs.select(held("text").alias("b")).agg(F.max("b.n"), F.max("b.chars"), F.count("b")).first()
+    assert most[0] <= 1000 and most[1] < 5_000_000 and most[2] == 3000  # else one batch of 3000 texts, 18 MB
+
+    named = spark.newSession()
+    named.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 77)
+    light_batches(named)
+    assert named.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+
+
 def test_names_of_the_queries():
     assert sorted(n.split("_")[0] for n in registry.queries()) == sorted(f"op{i}" for i in range(1, 11))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -109,6 +110,18 @@ def test_toxicity_on_held_out_texts_and_misspellings(toxic_model):
     assert toxic_model.scores([long_text])[0] > 0.5
 
 
+def test_toxicity_scores_many_texts_in_little_memory(toxic_model):
+    texts = corpus(400, 5)[0]
+    texts = [" ".join(texts[i : i + 40]) for i in range(0, 360)] + ["", "grubnakk " * 40_000, "x" * 300_000]
+    tracemalloc.start()
+    got = toxic_model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3_000_000 and peak < 40e6  # over 60 MB if a million characters are scored at a time
+    assert got.tolist() == [float(toxic_model.scores([t])[0]) for t in texts]
+    assert [t for _, t in blocks(["ab cd", "e", "f" * 9], 4, 9)] == [["ab cd"], ["e"], ["f" * 9]]
+
+
 def test_toxicity_on_odd_rows(spark, toxic_model):
     df = documents(spark, ODD)
     got = toxicity.scored(df, toxic_model).orderBy("doc_id").collect()
